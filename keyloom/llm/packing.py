@@ -29,6 +29,8 @@ END_ID = 0
 BLOCK = 40_000
 #: A bin with at most this many free tokens is closed after the first round.
 CLOSED = 8
+#: Bins in a row that can't be emptied, after which the search ends.
+PATIENCE = 16
 #: Words remembered by a worker; the memory is emptied when full.
 MEMORY = 300_000
 
@@ -131,18 +133,30 @@ class LocalSearch:
         self.open = sorted((b for b, f in zip(bins, fill, strict=True) if 0 < f < capacity), key=lambda b: int(lengths[b].sum()))
 
     def run(self) -> list[list[int]]:
-        while len(self.open) > 1:
+        settled: list[list[int]] = []
+        failures = 0
+        while len(self.open) + len(settled) > 1 and self.open and failures < PATIENCE:
             source = self.open.pop(0)
-            room = self.capacity * len(self.open) - sum(int(self.lengths[b].sum()) for b in self.open)
-            if room < int(self.lengths[source].sum()) or not self._emptied(source):
+            self.open += settled
+            if self._room(self.open) < self._fill(source):
                 self.open.append(source)
+                settled = []
                 break
-            full = [b for b in self.open if int(self.lengths[b].sum()) == self.capacity]
-            if full:
-                self.done += full
-                self.open = [b for b in self.open if int(self.lengths[b].sum()) < self.capacity]
-            self.open.sort(key=lambda b: int(self.lengths[b].sum()))
-        return self.done + self.open
+            emptied = self._emptied(source)
+            settled = [b for b in settled if self._fill(b) < self.capacity]
+            held = {id(b) for b in settled}
+            self.done += [b for b in self.open if self._fill(b) == self.capacity]
+            self.open = sorted((b for b in self.open if self._fill(b) < self.capacity and id(b) not in held), key=self._fill)
+            failures = 0 if emptied else failures + 1
+            if not emptied:
+                settled.append(source)
+        return self.done + self.open + settled
+
+    def _fill(self, one: list[int]) -> int:
+        return int(self.lengths[one].sum())
+
+    def _room(self, some: list[list[int]]) -> int:
+        return self.capacity * len(some) - sum(map(self._fill, some))
 
     def _emptied(self, source: list[int]) -> bool:
         """Whether the source's pieces all went to the other open bins."""
