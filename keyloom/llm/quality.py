@@ -99,7 +99,7 @@ class Model:
         weight = np.maximum(np.take_along_axis(near, top, 1), 0) ** SHARPNESS
         total = weight.sum(1)
         votes = (weight * self.labels[top]).sum(1)
-        return np.where(total > 0, votes / np.where(total > 0, total, 1), self.prior)
+        return np.clip(np.where(total > 0, votes / np.where(total > 0, total, 1), self.prior), 0.0, 1.0)
 
 
 def weighted(rows: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray) -> np.ndarray:

@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from keyloom.llm.chat import perspectives
+from keyloom.llm.compact_windows import repeated_passages
 from keyloom.llm.decontaminate import leaked
 from keyloom.llm.exact_dedup import exact_dedup
 from keyloom.llm.line_dedup import line_dedup
+from keyloom.llm.lm_score import lm_score
 from keyloom.llm.packing import pack_documents
+from keyloom.llm.quality import quality
 from keyloom.llm.simhash_dedup import simhash_dedup
 from keyloom.llm.warc import warc_round_trip
 
@@ -25,6 +28,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"), size=4, radius=4)
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_chars", "n_lines", "n_dropped")
 
@@ -33,10 +40,18 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives(table(spark, sf_dir, "conversations"))
 
@@ -161,9 +176,12 @@ FROM t WINDOW same AS (PARTITION BY text)
 
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
+    "op2_lm_score": op2_lm_score,
     "op3_line_dedup": op3_line_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_quality": op5_quality,
     "op6_warc": op6_warc,
+    "op7_passages": op7_passages,
     "op8_chat": op8_chat,
     "op9_packing": op9_packing,
     "op10_decontaminate": op10_decontaminate,
