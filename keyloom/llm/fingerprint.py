@@ -60,13 +60,51 @@ def majority_bits(hashes: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def simhash(text: Column, size: int) -> Column:
-    """SimHash as a long; texts without words (and null) have fingerprint zero."""
+def simhash(text: Column, size: int, distinct: bool = False) -> Column:
+    """SimHash as a long; texts without words (and null) have fingerprint zero.
+
+    With ``distinct`` a shingle counts once however often it occurs.
+    """
 
     @F.pandas_udf("long")
     def fingerprints(texts: pd.Series) -> pd.Series:
         hashes = (shingle_hashes(t, size) for t in texts)
+        if distinct:
+            hashes = map(np.unique, hashes)
         parts = [majority_bits(held) for held in by_size(hashes, len, 200_000)]
         return pd.Series(np.concatenate([np.empty(0, np.uint64), *parts]).view(np.int64))
 
     return fingerprints(text)
+
+
+#: Bins of a sketch.  Texts of fewer shingles have mostly one in a bin, so that
+#: sketches tell their similarity nearly exactly.
+BINS = 512
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """One-permutation min-hash: 16 bits of the least hash in each bin; 0: empty bin."""
+    out = np.zeros(BINS, np.uint16)
+    values = np.unique(hashes)
+    bins = (values >> np.uint64(55)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, bins[1:] != bins[:-1])) if len(bins) else np.empty(0, np.int64)
+    out[bins[first]] = 1 + (values[first] & np.uint64(0xFFFFFFFF)) % np.uint64(65535)
+    return out.tobytes()
+
+
+def sketches(text: Column, size: int) -> Column:
+    """Sketch of the text's distinct shingles."""
+
+    @F.pandas_udf("binary")
+    def made(texts: pd.Series) -> pd.Series:
+        return pd.Series([sketch(shingle_hashes(t, size)) for t in texts], dtype=object)
+
+    return made(text)
+
+
+def resemblance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of rows of sketches; 1 for two empty ones."""
+    some = (a | b) != 0
+    same = (a == b) & some
+    n = some.sum(1)
+    return np.where(n > 0, same.sum(1) / np.maximum(n, 1), 1.0)

@@ -9,10 +9,15 @@ meet they have their distances to ``PIVOTS`` reference fingerprints beside them;
 sorted by the first, a fingerprint is compared with those at most ``radius`` off
 in it; pairs that differ by more in another coordinate are discarded, and what
 survives is verified.  By the triangle inequality no link is lost.
+
+Where texts, not fingerprints, must be similar, the components found so are only
+the places of a second search: their members are compared again with sketches of
+their shingles beside them, and links below the similarity are left out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb, log2
 
@@ -22,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.components import components
-from keyloom.llm.fingerprint import simhash
+from keyloom.llm.fingerprint import resemblance, simhash, sketches
 from keyloom.llm.text import stable
 
 BITS = 64
@@ -75,16 +80,12 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[list[int], list[int]]:
     return left, right
 
 
-def linked(place: np.ndarray, words: np.ndarray, radius: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of words in the same place at most ``radius`` bits apart.
-
-    With ``side`` given, a pair of two words of side 1 is left to another place.
-    """
+def linked(place: np.ndarray, words: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Arrays of indices of words in the same place at most ``radius`` bits apart."""
     table = np.bitwise_count(words[:, None] ^ pivots()[None, :]).astype(np.int8)
     order = np.lexsort((table[:, 0], place))
     place, words, table = place[order], words[order], table[order]
-    side = None if side is None else side[order]
-    at, lag, us, vs = np.arange(len(words)), 1, [], []
+    at, lag = np.arange(len(words)), 1
     while len(at):
         at = at[at + lag < len(words)]
         at = at[(place[at] == place[at + lag]) & (table[at + lag, 0] - table[at, 0] <= radius)]
@@ -92,13 +93,36 @@ def linked(place: np.ndarray, words: np.ndarray, radius: int, side: np.ndarray |
         for k in range(1, table.shape[1]):
             near = near[np.abs(table[near + lag, k] - table[near, k]) <= radius]
         near = near[np.bitwise_count(words[near] ^ words[near + lag]) <= radius]
-        if side is not None:
-            near = near[(side[near] == 0) | (side[near + lag] == 0)]
-        us.append(words[near])
-        vs.append(words[near + lag])
+        if len(near):
+            yield order[near], order[near + lag]
         lag += 1
-    none = np.empty(0, np.uint64)
-    return np.concatenate([none, *us]), np.concatenate([none, *vs])
+
+
+def _whole_places(found):
+    """``found`` applied to frames sorted by place, never with a place cut in two."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for frame in frames:
+            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            if len(held):
+                whole = held["place"] != held["place"].iloc[-1]
+                if whole.any():
+                    yield found(held[whole].reset_index(drop=True))
+                    held = held[~whole].reset_index(drop=True)
+        if held is not None and len(held):
+            yield found(held)
+
+    return run
+
+
+def _dealt(members: DataFrame, place: list[str], id_: str) -> DataFrame:
+    """``members`` with the long place; large places as pairs of chunks of members."""
+    sizes = members.groupBy(*place).agg(F.count("*").alias("n")).where("n > 1").select(*place, F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64(id_), F.col("chunks")).cast("int")
+    pair = F.struct(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = members.join(sizes, place).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return dealt.withColumn("place", F.xxhash64(*place, pair)).drop("own", "other", "chunks", *[c for c in place if c != "place"])
 
 
 def links(prints: DataFrame, radius: int) -> DataFrame:
@@ -107,57 +131,71 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
     ``prints`` has distinct longs fp.  Of the links within a place, a spanning
     forest is returned, not all pairs.
     """
-    blocks = blocks_for(prints.count(), radius)
-    masks = block_masks(blocks, radius)
+    masks = block_masks(blocks_for(prints.count(), radius), radius)
     places = F.array(*[F.struct(F.lit(i).cast("short").alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(masks)])
     met = prints.select("fp", F.explode(places).alias("p")).select("fp", "p.choice", "p.bits")
-    sizes = met.groupBy("choice", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    pair = F.when(F.col("other") <= F.col("own"), F.struct(F.col("other").alias("i"), F.col("own").alias("j"))).otherwise(F.struct(F.col("own").alias("i"), F.col("other").alias("j")))
-    dealt = (
-        met.join(sizes, ["choice", "bits"])
-        .select("fp", "choice", "bits", chunks.alias("chunks"))
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("fp", F.xxhash64("choice", "bits", pair).alias("place"))
-    )
-
-    def within(frames):
-        held = pd.DataFrame({"fp": np.empty(0, np.int64), "place": np.empty(0, np.int64)})
-
-        def found(frame: pd.DataFrame) -> pd.DataFrame:
-            u, v = linked(frame["place"].to_numpy(), frame["fp"].to_numpy().view(np.uint64), radius)
-            left, right = _forest(u.view(np.int64), v.view(np.int64))
-            return pd.DataFrame({"u": np.array(left, np.int64), "v": np.array(right, np.int64)})
+    dealt = _dealt(met, ["choice", "bits"], "fp")
 
-        for frame in frames:
-            held = pd.concat([held, frame], ignore_index=True)
-            last = held["place"].to_numpy()[-1] if len(held) else 0
-            whole = held["place"] != last
-            if whole.any():
-                yield found(held[whole])
-                held = held[~whole].reset_index(drop=True)
-        if len(held):
-            yield found(held)
+    def found(frame: pd.DataFrame) -> pd.DataFrame:
+        words = frame["fp"].to_numpy()
+        left, right = [], []
+        for i, j in linked(frame["place"].to_numpy(), words.view(np.uint64), radius):
+            left.append(words[i])
+            right.append(words[j])
+        none = np.empty(0, np.int64)
+        u, v = _forest(np.concatenate([none, *left]), np.concatenate([none, *right]))
+        return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
+
+    return dealt.repartition("place").sortWithinPartitions("place").mapInPandas(_whole_places(found), "u long, v long")
+
+
+def similar(nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """u, v: links of nodes (node, fp, sketch, root) of one root that resemble enough.
+
+    Of each place the links form a spanning forest of those at least ``similarity``
+    alike.
+    """
+    dealt = _dealt(nodes.select("node", "fp", "sketch", "root"), ["root"], "node")
+
+    def found(frame: pd.DataFrame) -> pd.DataFrame:
+        node = frame["node"].to_numpy()
+        rows = np.frombuffer(b"".join(frame["sketch"]), np.uint16).reshape(len(frame), -1)
+        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i, j in linked(frame["place"].to_numpy(), frame["fp"].to_numpy().view(np.uint64), radius):
+            alike = resemblance(rows[i], rows[j]) >= similarity
+            left.append(node[i[alike]])
+            right.append(node[j[alike]])
+        u, v = _forest(np.concatenate(left), np.concatenate(right))
+        return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
 
-    return dealt.repartition("place").sortWithinPartitions("place").mapInPandas(within, "u long, v long")
+    return dealt.repartition("place").sortWithinPartitions("place").mapInPandas(_whole_places(found), "u long, v long")
 
 
-def simhash_dedup(docs: DataFrame, size: int = 5, radius: int = 4) -> DataFrame:
+def simhash_dedup(docs: DataFrame, size: int = 5, radius: int = 4, distinct: bool = False, similarity: float | None = None, verify_size: int = 5) -> DataFrame:
     """doc_id, fingerprint and component_id of each row of ``docs``.
 
     Needs doc_id and text; other columns are ignored, whatever their names.
-    ``size``: words of a shingle.  A text of fewer words is one shingle; one
-    without words, or null, has fingerprint zero and links like any other.
-    Fingerprints link at ``radius`` or fewer differing bits.  component_id is the
-    smallest doc_id that links reach, null if all ids there are null.  Repeated
-    rows each get a row.  An empty table gives none.
+    ``size``: words of a shingle, which counts once with ``distinct``.  A text of
+    fewer words is one shingle; one without words, or null, has fingerprint zero
+    and links like any other.  Fingerprints link at ``radius`` or fewer differing
+    bits; with ``similarity``, only if the Jaccard similarity of the texts' distinct
+    shingles of ``verify_size`` words is at least that, as their sketches tell it.
+    component_id is the smallest doc_id that links reach, null if all ids there
+    are null.  Repeated rows each get a row.  An empty table gives none.
     """
-    rows = stable(docs.select("doc_id", simhash(F.col("text"), size).alias("fp")))
-    prints = stable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(prints.select("fp"), radius)).withColumnRenamed("node", "fp")
-    member = prints.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    made = docs.select("doc_id", "text").withColumn("fp", simhash(F.col("text"), size, distinct))
+    if similarity is None:
+        rows = stable(made.select("doc_id", "fp", F.col("fp").alias("node")))
+        nodes = stable(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")))
+        roots = components(links(nodes.select("fp"), radius))
+    else:
+        sketched = made.withColumn("sketch", sketches(F.col("text"), verify_size))
+        rows = stable(sketched.select("doc_id", "fp", "sketch", F.xxhash64("fp", "sketch").alias("node")))
+        nodes = stable(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least"), F.first("sketch").alias("sketch")))
+        loose = components(links(nodes.select("fp").distinct(), radius)).withColumnRenamed("node", "fp")
+        placed = nodes.join(loose, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        roots = components(similar(placed, radius, similarity))
+    member = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = member.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = member.join(least, "root").select("node", "component_id")
+    return rows.select("doc_id", "fp", "node").join(named, "node").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
