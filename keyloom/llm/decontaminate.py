@@ -13,11 +13,14 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 WINDOW = 5
 #: Least share of an item's windows that a document must contain.
@@ -246,3 +249,22 @@ def leaked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: f
         part = docs.select("doc_id", "text").mapInPandas(search, "doc_id long, item_ids array<long>, best_share double, changed_slots long")
         out = part if out is None else out.unionAll(part)
     return out
+
+
+def _clean(items: Broadcast, window: int, share: float):
+    """A column function: whether a text leaks none of the items."""
+
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bench, memory = Benchmark(items.value, window), Words()
+        for batch in batches:
+            yield pd.Series([not bench.leaks(text, memory, share) for text in batch], dtype=bool)
+
+    return clean
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text leaks no item (see ``leaked``)."""
+    for items in _blocks(benchmark, block_windows):
+        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(items), window, share)("text"))
+    return docs

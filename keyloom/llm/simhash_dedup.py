@@ -199,3 +199,15 @@ def simhash_dedup(docs: DataFrame, size: int = 5, radius: int = 4, distinct: boo
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
     named = member.join(least, "root").select("node", "component_id")
     return rows.select("doc_id", "fp", "node").join(named, "node").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, **options: object) -> DataFrame:
+    """The rows of ``docs``, all columns, with the smallest doc_id of their group.
+
+    Groups are the components of ``simhash_dedup(docs, **options)``.  Rows without
+    an id can't be told apart by it and stay.  Rows that repeat id and text stay
+    once.
+    """
+    groups = simhash_dedup(docs, **options)
+    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).unionAll(docs.where("doc_id IS NULL"))
