@@ -1,0 +1,123 @@
+"""K-mer windows, strands, files and generated inputs."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from keyloom.functions.alphabets import DNA, DNA16
+from keyloom.operators import kmers
+from keyloom.operators.kmers import count_kmers, positions, split_pieces, windows
+from keyloom.plans.keyspec import BIMOLECULE, CANONICAL, KeySpec
+from keyloom.sources import binary, synthetic
+from keyloom.sources.sequences import read_fasta, read_fastq
+
+
+def reads(spark, *texts):
+    return spark.createDataFrame(list(enumerate(texts)), "seq_id long, seq string")
+
+
+def test_edges(spark):
+    df = reads(spark, "", "ACG", "ACGT", "NACGTNNACGTAN", "acgtn", None)
+    got = sorted((r.seq_id, r.pos, r.kmer) for r in windows(split_pieces(df, KeySpec(4)), KeySpec(4)).collect())
+    assert got == [(2, 0, "ACGT"), (3, 1, "ACGT"), (3, 7, "ACGT"), (3, 8, "CGTA"), (4, 0, "ACGT")]
+
+
+def test_pieces_overlap(spark, monkeypatch):
+    monkeypatch.setattr(kmers, "PIECE", 7)
+    text = "ACGTTGCAACGGTACCATGCATCGA" * 3
+    got = sorted((r.pos, r.kmer) for r in windows(reads(spark, text), KeySpec(5)).collect())
+    assert got == [(i, text[i : i + 5]) for i in range(len(text) - 4)]
+    other = str.maketrans("ACGT", "TGCA")
+    canon = sorted((r.pos, r.kmer) for r in windows(reads(spark, text), KeySpec(5, mode=CANONICAL)).collect())
+    assert canon == [(i, min(text[i : i + 5], text[i : i + 5].translate(other)[::-1])) for i in range(len(text) - 4)]
+
+
+def test_strands(spark):
+    df = reads(spark, "AACC", "GGTT", "ACGT")
+    assert {r.kmer: r.cnt for r in count_kmers(df, KeySpec(4, mode=CANONICAL)).collect()} == {"AACC": 2, "ACGT": 1}
+    assert {r.kmer: r.cnt for r in count_kmers(df, KeySpec(4, mode=BIMOLECULE)).collect()} == {"AACC": 2, "ACGT": 1}
+    turned = reads(spark, "GGTT", "AACC")
+    assert {r.kmer: r.cnt for r in count_kmers(turned, KeySpec(4, mode=BIMOLECULE)).collect()} == {"GGTT": 2}
+    both = spark.createDataFrame([("ACMGRSVTWYHKDBN",)], "s string")
+    same = both.select(DNA16.canonical(F.col("s")) == DNA16.canonical(DNA16.reverse_complement(F.col("s"))), DNA16.reverse_complement(DNA16.reverse_complement(F.col("s"))) == F.col("s"))
+    assert same.first() == (True, True)
+
+
+def test_total_is_number_of_windows(spark):
+    df = reads(spark, "ACGTACGTTTGACA" * 20, "CCGT")
+    assert count_kmers(df, KeySpec(7)).agg(F.sum("cnt")).first()[0] == 14 * 20 - 6
+
+
+def test_quality(spark):
+    df = spark.createDataFrame([(1, "ACGTA", "!+5?I")], "seq_id long, seq string, qual string")
+    got = [(r.pos, round(r.qual, 4)) for r in positions(df, KeySpec(3), quality="qual").orderBy("pos").collect()]
+    assert got == [(0, 10.0), (1, 20.0), (2, 30.0)]
+
+
+def test_keyspec_is_checked():
+    with pytest.raises(ValueError):
+        KeySpec(0)
+    with pytest.raises(ValueError):
+        KeySpec(3, mode="double")
+
+
+def test_fasta(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">one x > y\nACGT\nAC\n\n>two\n\n>three\nTTT")
+    (tmp_path / "b.fa").write_text("")
+    got = {r.header: r.seq for r in read_fasta(spark, str(tmp_path)).collect()}
+    assert got == {"one x > y": "ACGTAC", "two": "", "three": "TTT"}
+
+
+def test_fastq_across_blocks(spark, tmp_path):
+    n = 500
+    (tmp_path / "a.fq").write_text("".join(f"@r{i}\n{'ACGT' * (1 + i % 3)}\n+\n{'@III' * (1 + i % 3)}\n" for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000b")
+    try:
+        df = read_fastq(spark, str(tmp_path))
+        rows = df.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r.header: (r.seq, r.qual) for r in rows} == {f"r{i}": ("ACGT" * (1 + i % 3), "@III" * (1 + i % 3)) for i in range(n)}
+    assert len({r.seq_id for r in rows}) == n
+
+
+@pytest.mark.parametrize("headed", [False, True])
+def test_binary_round_trip(spark, tmp_path, headed):
+    rows = [(i * 7 % 101, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "key long, value long")
+    for i, r in enumerate(binary.encoded(df, headed=headed).collect()):
+        (tmp_path / f"p{i}.bin").write_bytes(r.content)
+    back = binary.read_pairs(spark, str(tmp_path), headed=headed)
+    assert sorted((r.key, r.value) for r in back.collect()) == sorted(rows)
+    assert binary.checksum(back).first() == binary.checksum(df).first()
+
+
+def test_binary_header_is_checked(spark, tmp_path):
+    (tmp_path / "x.bin").write_bytes(np.array([16, 1], "<u8").tobytes() + b"\0" * 8)
+    with pytest.raises(Exception, match="8 bytes"):
+        binary.read_pairs(spark, str(tmp_path), headed=True).collect()
+
+
+def test_table_sinks(spark, tmp_path):
+    df = spark.range(100).selectExpr("id AS key", "id % 3 AS part")
+    binary.write_table(df, str(tmp_path / "one"), single=True)
+    assert len(list((tmp_path / "one").glob("*.parquet"))) == 1
+    binary.write_table(df, str(tmp_path / "parts"), partition_by=["part"])
+    assert spark.read.parquet(str(tmp_path / "parts")).where("part = 1").count() == 33
+
+
+def test_generated(spark):
+    assert synthetic.unique_keys(spark, 5000).distinct().count() == 5000
+    pairs = synthetic.repeated_pairs(spark, 1000, 8.0)
+    per = pairs.groupBy("key").count().agg(F.count("*"), F.min("count"), F.max("count"), F.avg("count")).first()
+    assert per[0] == 1000 and per[1] >= 1 and per[2] <= 16 and 7 < per[3] < 10
+    assert pairs.exceptAll(synthetic.repeated_pairs(spark, 1000, 8.0)).isEmpty()
+    words = synthetic.random_kmers(spark, 200, 21, canonical=True)
+    assert words.where(F.length("kmer") != 21).isEmpty()
+    assert words.where(DNA.canonical(F.col("kmer")) != F.col("kmer")).isEmpty()
+    some = synthetic.hash_sample(spark.range(10_000).withColumnRenamed("id", "key"), "key", 4).count()
+    assert 2200 < some < 2800
+    keys = spark.range(10_000).withColumnRenamed("id", "key")
+    mixed = synthetic.query_mix(keys, keys.select((F.col("key") + 10**6).alias("key")), 0.25)
+    assert 0.2 < mixed.where("key >= 1000000").count() / mixed.count() < 0.3
