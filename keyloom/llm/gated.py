@@ -97,6 +97,17 @@ def log_softmax(rows: np.ndarray) -> np.ndarray:
     return rows - np.log(np.exp(rows).sum(1, keepdims=True))
 
 
+def picked(rows: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    """Log-probabilities of a column of each row of scores, which are used up."""
+    top = rows.max(initial=0)
+    if top > 60:
+        rows -= rows.max(1, keepdims=True)
+    at = np.arange(len(rows))
+    found = [rows[at, c].astype(np.float64) for c in columns]
+    total = np.log(np.exp(rows, out=rows).sum(1, dtype=np.float64))
+    return [x - total for x in found]
+
+
 def step(p: Params, read: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     """The next state, with what the backward pass needs; ``read``: projected inputs."""
     kept = h @ p["keep"]
@@ -235,6 +246,8 @@ def log_probabilities(p: Params, tokens: Tokens) -> tuple[np.ndarray, np.ndarray
     sizes = np.array([sum(int(lengths[d]) for d in lane) for lane in dealt], int)
     begin = np.cumsum(sizes) - sizes
     read = p["embed"] @ p["read"] + p["bias"]
+    last = p["out"].shape[1] - 1
+    out_bias, member_bias = p["out_bias"] - p["out_bias"].max(), p["member_bias"] - p["member_bias"].max(1, keepdims=True)
     inputs, first = tokens.inputs[order], tokens.first[order]
     h = np.zeros((len(dealt), HIDDEN), np.float32)
     states: list[np.ndarray] = []
@@ -245,12 +258,10 @@ def log_probabilities(p: Params, tokens: Tokens) -> tuple[np.ndarray, np.ndarray
         nonlocal states, places, held
         rows, at = np.concatenate(states), order[np.concatenate(places)]
         classes, members = tokens.classes[at], tokens.members[at]
-        logs = log_softmax(rows @ p["out"] + p["out_bias"])
-        found = logs[np.arange(len(rows)), classes].astype(np.float64)
+        found, other = picked(rows @ p["out"] + out_bias, classes, np.full(len(rows), last))
         for c, mine in by_class(classes, members):
-            inner = log_softmax(rows[mine] @ p["member"][c] + p["member_bias"][c])
-            found[mine] += inner[np.arange(len(mine)), members[mine]]
-        own[at], unseen[at] = found, logs[:, -1]
+            found[mine] += picked(rows[mine] @ p["member"][c] + member_bias[c], members[mine])[0]
+        own[at], unseen[at] = found, other
         states, places, held = [], [], 0
 
     for t in range(int(sizes[0]) if len(sizes) else 0):

@@ -1,7 +1,7 @@
 """Language-model scoring of whole documents.
 
 Words of the training documents are counted over all of them.  The most frequent
-``HEAD`` words, whose number is fixed, are broadcast with their counts; a token
+words, at most ``HEAD``, are broadcast with their counts; a token
 outside them meets its count in a join by word.  The most frequent ``EXPLICIT``
 words are members of output classes; any other word has a class by its last two
 bytes, in which its probability follows its count; one more class is a word that
@@ -20,11 +20,12 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm import gated
@@ -37,15 +38,22 @@ HEAD = 1 << 17
 EXPLICIT = 2048
 MEMBERS = 64
 ENDINGS = 96
-#: Of the training documents, each round reads those of one residue of 8.
+#: Of the training documents, each round reads those of one residue of ``SHARES``.
 ROUNDS = 2
-SHARES = 8
+SHARES = 16
 #: Copies averaged in one task.
 FAN_IN = 64
 #: Different words a counting task holds, and tokens scored or trained at once.
 HELD_WORDS = 400_000
-BLOCK = 1_000_000
+BLOCK = 4_000_000
+#: Words that are looked up at once.
+SLICE = 100_000
 TRAIN_BLOCK = 60_000
+#: Share of a word seen once, and of the mean rare word seen once, that stands
+#: for words never seen: a count of one tells more of new words than of its own.
+NEW = 0.7
+#: Counts fall into bins of a 16th of an octave where the head ends.
+BINS = 16
 END = b""
 LN10 = math.log(10)
 
@@ -62,7 +70,7 @@ def count_words(texts: DataFrame) -> DataFrame:
         seen: Counter[bytes] = Counter()
 
         def out() -> pd.DataFrame:
-            return pd.DataFrame({"word": [w.decode("utf-8") for w in seen], "c": np.fromiter(seen.values(), np.int64, len(seen))})
+            return pd.DataFrame({"word": pd.Series([w.decode("utf-8") for w in seen], dtype=object), "c": np.fromiter(seen.values(), np.int64, len(seen))})
 
         for frame in frames:
             for text in frame["text"]:
@@ -78,7 +86,11 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Lexicon:
-    """Head words by rank with their counts, and totals over all training words."""
+    """Head words by rank with their counts, and totals over all training words.
+
+    once: the share of words seen once among tokens outside the head; hapaxes: the
+    number of all words seen once.
+    """
 
     words: list[bytes]
     counts: np.ndarray
@@ -86,16 +98,17 @@ class Lexicon:
     types: int
     class_mass: np.ndarray
     once: float
+    hapaxes: int
     rank: dict[bytes, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.rank = {w: i for i, w in enumerate(self.words)}
         self.explicit = min(EXPLICIT, len(self.words))
         self.classes = EXPLICIT // MEMBERS
-        self.ending = np.array([ending(w) for w in self.words], np.int64)
+        self.ending = np.array([ending(w) for w in self.words], np.int32)
 
     def __reduce__(self):
-        return Lexicon, (self.words, self.counts, self.tokens, self.types, self.class_mass, self.once)
+        return Lexicon, (self.words, self.counts, self.tokens, self.types, self.class_mass, self.once, self.hapaxes)
 
     @property
     def shape(self) -> Shape:
@@ -109,41 +122,75 @@ class Lexicon:
         mass = np.zeros(self.shape.classes)
         np.add.at(mass, places // MEMBERS, self.counts[: self.explicit].astype(float))
         mass[self.classes : -1] = self.class_mass
-        mass[-1] = 0.5
+        mass[-1] = max(0.5, NEW * self.hapaxes)
         return gated.fresh(self.shape, np.where(mass > 0, np.log(np.maximum(mass, 1e-9)), NEVER), members)
 
     def read(self, texts: list[str | None]) -> tuple[Tokens, np.ndarray, list[bytes]]:
         """Tokens of the texts, each token's rank (-1: not in the head) and those words."""
+        parts: list[np.ndarray] = []
+        kinds: list[int] = []
+        rare: list[bytes] = []
+        sizes: list[int] = []
         words: list[bytes] = []
-        ends = []
+
+        def look_up() -> None:
+            rank = np.fromiter(map(self.rank.get, words, repeat(-1)), np.int32, len(words))
+            new = [words[i] for i in np.flatnonzero(rank < 0).tolist()]
+            kinds.extend(map(ending, new))
+            rare.extend(new)
+            parts.append(rank)
+            words.clear()
+
         for text in texts:
-            words += ascii_words(text)
-            words.append(END)
-            ends.append(len(words))
-        n = len(words)
-        rank = np.fromiter(map(self.rank.get, words, [-1] * n), np.int64, n)
-        outside = np.flatnonzero(rank < 0)
-        rare = [words[i] for i in outside.tolist()]
-        kind = self.ending[rank] if len(self.ending) else np.zeros(n, np.int64)
-        kind[outside] = [ending(w) for w in rare]
-        explicit = (rank >= 0) & (rank < self.explicit)
-        first = np.zeros(n, bool)
-        first[np.array([0, *ends[:-1]], int)] = True
-        unseen = np.zeros(n, np.float32)
-        unseen[outside] = self.once
+            own = ascii_words(text)
+            own.append(END)
+            sizes.append(len(own))
+            words += own
+            if len(words) >= SLICE:
+                look_up()
+        look_up()
+        rank = np.concatenate(parts)
+        outside = rank < 0
+        kind = self.ending[rank] if len(self.ending) else np.zeros(len(rank), np.int32)
+        kind[outside] = kinds
+        unseen = np.where(self.counts[rank] == 1, np.float32(NEW), np.float32(0)) if len(self.counts) else np.zeros(len(rank), np.float32)
+        unseen[outside] = NEW * self.once
+        first = np.zeros(len(rank), bool)
+        first[np.cumsum([0, *sizes[:-1]])] = True
+        explicit = ~outside & (rank < self.explicit)
+        unseen[explicit] = 0
         tokens = Tokens(
             np.where(explicit, rank, EXPLICIT + kind),
             np.where(explicit, rank // MEMBERS, self.classes + kind),
-            np.where(explicit, rank % MEMBERS, -1),
+            np.where(explicit, rank % MEMBERS, np.int32(-1)),
             unseen,
             first,
         )
         return tokens, rank, rare
 
 
-def lexicon(counts: DataFrame, head: int = HEAD) -> Lexicon:
-    """The lexicon of counted words; only the head and sums come to the driver."""
-    top = [(r.word.encode(), r.c) for r in counts.orderBy(F.desc("c"), "word").limit(head).collect()]
+def binned(count: Column) -> Column:
+    """The bin of a count; single counts while they are small."""
+    return F.floor(F.log2(count) * BINS).cast("int")
+
+
+def lexicon(counts: DataFrame, head: int = HEAD) -> tuple[Lexicon, int | None]:
+    """The lexicon of counted words, and the least bin of the head (None: all words).
+
+    The head is all words of the highest bins of counts that hold at most ``head``
+    words.  Only they, a row a bin and a row a class come to the driver.
+    """
+    least, held = None, 0
+    for r in sorted(counts.groupBy(binned(F.col("c")).alias("bin")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        held += r.n
+        if held > head:
+            break
+        least = r.bin
+    else:
+        least = None if held <= head else least
+    whole = held <= head
+    kept = counts if whole else counts.where(binned(F.col("c")) >= (least if least is not None else 1 << 20))
+    top = sorted(((r.word.encode(), r.c) for r in kept.collect()), key=lambda x: (-x[1], x[0]))
     kind = F.pmod(F.crc32(F.substring(F.col("word").cast("binary"), -2, 2)), F.lit(ENDINGS))
     sums = counts.groupBy(kind.alias("kind")).agg(F.sum("c").alias("c"), F.count("*").alias("n"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("once")).collect()
     mass = np.zeros(ENDINGS)
@@ -151,10 +198,11 @@ def lexicon(counts: DataFrame, head: int = HEAD) -> Lexicon:
         mass[r.kind] = r.c + 0.5 * r.n
     for w, c in top[:EXPLICIT]:
         mass[ending(w)] -= c + 0.5
-    tokens, types = sum(r.c for r in sums), sum(r.n for r in sums)
+    tokens, types, once = (sum(x) for x in zip(*((r.c, r.n, r.once) for r in sums), strict=True)) if sums else (0, 0, 0)
     outside = tokens - sum(c for _, c in top)
-    once = sum(r.once for r in sums) - sum(c == 1 for _, c in top)
-    return Lexicon([w for w, _ in top], np.array([c for _, c in top], np.int64), tokens, types, np.maximum(mass, 0), once / outside if outside else 0.0)
+    rare = once - sum(c == 1 for _, c in top)
+    words = Lexicon([w for w, _ in top], np.array([c for _, c in top], np.int64), tokens, types, np.maximum(mass, 0), rare / outside if outside else 0.0, once)
+    return words, None if whole else least if least is not None else 1 << 20
 
 
 def _averaged(copies: DataFrame, fan_in: int) -> DataFrame:
@@ -224,7 +272,7 @@ def _scored(rows: DataFrame, words: Lexicon, params: Params) -> DataFrame:
             n = np.bincount(doc, minlength=len(held))
             whole = pd.DataFrame(
                 {
-                    "key": [f"\n{r}" for r in row.tolist()],
+                    "key": pd.Series([f"\n{r}" for r in row.tolist()], dtype=object),
                     "row": row,
                     "doc_id": pd.array([None if pd.isna(x.doc_id) else int(x.doc_id) for x in held], "Int64"),
                     "held_out": [bool(x.held_out) for x in held],
@@ -238,8 +286,7 @@ def _scored(rows: DataFrame, words: Lexicon, params: Params) -> DataFrame:
             )
             yield whole[names]
             if len(outside):
-                tail = pd.DataFrame({"key": [w.decode("utf-8") for w in rare], "row": row[doc[outside]], "own": own[outside], "other": other[outside], "n": 1})
-                tail = tail.groupby(["row", "key"], sort=False, as_index=False).sum()
+                tail = pd.DataFrame({"key": pd.Series([w.decode("utf-8") for w in rare], dtype=object), "row": row[doc[outside]], "own": own[outside], "other": other[outside], "n": 1})
                 tail = tail.assign(doc_id=pd.array([None] * len(tail), "Int64"), held_out=None, n_tokens=0, n_known=0, base=0.0)
                 yield tail[names]
 
@@ -262,13 +309,9 @@ def lm_score(docs: DataFrame, head: int = HEAD, rounds: int = ROUNDS) -> DataFra
     rows = docs.select("doc_id", "text", (crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), F.monotonically_increasing_id().alias("row"))
     training = rows.where(~F.col("held_out"))
     counts = stable(count_words(training))
-    words = lexicon(counts, head)
+    words, least = lexicon(counts, head)
     params = train(training, words, rounds)
-    if len(words.words) == head:
-        word, c = words.words[-1].decode(), int(words.counts[-1])
-        counts = counts.where((F.col("c") < c) | ((F.col("c") == c) & (F.col("word") > word)))
-    else:
-        counts = counts.where(F.lit(False))
+    counts = counts.where(F.lit(False) if least is None else binned(F.col("c")) < least)
     kind = F.pmod(F.crc32(F.substring(F.col("word").cast("binary"), -2, 2)), F.lit(ENDINGS))
     masses = F.array(*[F.lit(float(max(m, 0.5))) for m in words.class_mass])
     rare = counts.select(F.col("word").alias("key"), F.col("c"), F.log10(masses[kind]).alias("mass"))

@@ -35,7 +35,7 @@ def base_scores(docs):
     return out
 
 
-@pytest.mark.parametrize("head", [1 << 17, 300])
+@pytest.mark.parametrize("head", [1 << 17, 3000])
 def test_base_and_gain(spark, sf_dir, head):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = sorted(lm_score.lm_score(docs, head=head).collect(), key=lambda r: r.doc_id)
@@ -70,7 +70,7 @@ def small_lexicon():
     for w, c in counts.items():
         if w not in dict(top):
             mass[lm_score.ending(w)] += c + 0.5
-    return texts, counts, lm_score.Lexicon([w for w, _ in top], np.array([c for _, c in top]), sum(counts.values()), len(counts), mass, 0.3)
+    return texts, counts, lm_score.Lexicon([w for w, _ in top], np.array([c for _, c in top]), sum(counts.values()), len(counts), mass, 0.3, 4)
 
 
 def test_probabilities_sum_to_one():
