@@ -42,8 +42,8 @@ def pivots(count: int = PIVOTS) -> np.ndarray:
 
 
 def blocks_for(fingerprints: int, radius: int) -> int:
-    """Blocks such that a place holds less than one unrelated fingerprint on average."""
-    wanted = log2(max(2, fingerprints)) + 2
+    """Blocks such that a place holds at most one unrelated fingerprint on average."""
+    wanted = log2(max(2, fingerprints))
     blocks = radius + 1
     while BITS * (blocks - radius) / blocks < wanted and comb(blocks, radius) < 500:
         blocks += 1
