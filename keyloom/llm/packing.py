@@ -11,6 +11,7 @@ that are still underfull are opened again and packed together in a second round.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -38,33 +39,45 @@ MEMORY = 300_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class Encoder:
+def byte_symbols() -> dict[str, int]:
+    """The character that stands for each byte in a byte-level vocabulary.
+
+    Printable bytes stand for themselves; the others take characters from 256 on.
+    """
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+class Encoder(dict):
     """Ids of a byte-level BPE vocabulary as little-endian 32-bit words.
 
-    The vocabulary merges within words of ``PATTERN`` only, so words are encoded
-    once and remembered.  A text that holds a special token is encoded whole.
+    The vocabulary merges within words of ``PATTERN`` only, so a word's ids are
+    made once and remembered here.  Ids follow the order of merges, so they serve
+    as ranks.  A text that holds a special token is left to the tokenizer.
     """
 
     def __init__(self, path: str) -> None:
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        symbols = byte_symbols()
+        ranks = {bytes(symbols[c] for c in token): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
+        self.merged = Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         self.split = regex.compile(PATTERN).findall
-        self.memory: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= MEMORY:
+            self.clear()
+        self[word] = ids = array("I", self.merged(word.encode("utf-8", "replace"))).tobytes()
+        return ids
 
-    def __call__(self, text: str) -> bytes:
+    def ids(self, text: str) -> bytes:
         if any(t in text for t in self.special):
-            return self._ids(text)
-        words = self.split(text)
-        if len(self.memory) > MEMORY:
-            self.memory.clear()
-        for word in set(words).difference(self.memory):
-            self.memory[word] = self._ids(word)
-        return b"".join(map(self.memory.__getitem__, words))
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.__getitem__, self.split(text)))
 
 
 @cache
@@ -83,8 +96,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
     """doc_id, piece, start, length, ids_crc32 of each document's pieces."""
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        end = np.array([END_ID], "<u4").tobytes()
-        encode = encoder(vocabulary)
+        end = array("I", [END_ID]).tobytes()
+        encode = encoder(vocabulary).ids
         for frame in frames:
             rows = []
             for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
