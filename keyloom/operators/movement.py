@@ -25,6 +25,15 @@ def rebalance(rows: DataFrame, parts: int) -> DataFrame:
     return rows.repartition(parts)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt over all cores if they lie in fewer partitions; else as they are.
+
+    Only a table of few files is moved; the count is read off the plan.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rebalance(rows, cores)
+
+
 def bucket_sizes(rows: DataFrame, key: Column, buckets: int) -> DataFrame:
     """bucket, size."""
     return rows.groupBy(bucket(key, buckets).alias("bucket")).agg(F.count("*").alias("size"))

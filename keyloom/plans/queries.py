@@ -48,7 +48,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as sequences: the nucleotide letters of their text."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), DNA.clean(F.col("text")).alias("seq"))
+    docs = movement.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select(F.col("doc_id").alias("seq_id"), DNA.clean(F.col("text")).alias("seq"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,6 +78,9 @@ def test_movement(spark):
     assert movement.bucket_sizes(df, F.col("qid"), 8).agg(F.sum("size")).first()[0] == 1000
     one = movement.distribute(df, "k", 5).select("k", F.spark_partition_id().alias("p")).distinct()
     assert one.groupBy("k").count().where("count > 1").isEmpty()
+    assert movement.spread(df.coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = df.repartition(50)
+    assert movement.spread(many) is many
     assert movement.rebalance(df, 3).rdd.getNumPartitions() == 3
     local = movement.local_sort(df.repartition(2), ["v"]).select(F.spark_partition_id().alias("p"), "v").collect()
     for p in {r.p for r in local}:
