@@ -134,14 +134,15 @@ def gradients(p: Params, window: Tokens, h: np.ndarray) -> tuple[Params, np.ndar
     backpropagation through time.
     """
     steps, streams = window.inputs.shape
-    read = (p["embed"] @ p["read"] + p["bias"])[window.inputs]
-    before = np.empty((steps, streams, HIDDEN), np.float32)
-    kept = []
+    used = window.inputs.ravel()
+    read = (p["embed"][used] @ p["read"] + p["bias"]).reshape(steps, streams, -1)
+    opens = window.first.any(1)
+    before, z, r, cand, hidden = (np.empty((steps, streams, HIDDEN), read.dtype) for _ in range(5))
     for t in range(steps):
-        h = np.where(window.first[t][:, None], np.float32(0), h)
+        if opens[t]:
+            h = np.where(window.first[t][:, None], np.float32(0), h)
         before[t] = h
-        h, *rest = step(p, read[t], h)
-        kept.append(rest)
+        h, z[t], r[t], cand[t], hidden[t] = step(p, read[t], h)
     rows = before.reshape(-1, HIDDEN)
     n = len(rows)
     at = np.arange(n)
@@ -161,20 +162,22 @@ def gradients(p: Params, window: Tokens, h: np.ndarray) -> tuple[Params, np.ndar
         g["member"][c], g["member_bias"][c] = rows[own].T @ e, e.sum(0)
         back[own] += e @ p["member"][c].T
     back = back.reshape(before.shape)
-    into = np.empty_like(read)
+    into, state = np.empty_like(read), np.empty_like(read)
+    to_cand, to_z, to_r = (1 - z) * (1 - cand * cand), (before - cand) * z * (1 - z), hidden * r * (1 - r)
+    keep = np.ascontiguousarray(p["keep"].T)
     dh = np.zeros_like(h)
     for t in reversed(range(steps)):
-        z, r, cand, hidden = kept[t]
-        prev = before[t]
-        dn = dh * (1 - z) * (1 - cand * cand)
-        dz = dh * (prev - cand) * z * (1 - z)
-        dr = dn * hidden * r * (1 - r)
-        into[t] = np.concatenate([dz, dr, dn], 1)
-        state = np.concatenate([dz, dr, dn * r], 1)
-        g["keep"] += prev.T @ state
-        dh = dh * z + state @ p["keep"].T + back[t]
-        dh = np.where(window.first[t][:, None], np.float32(0), dh)
-    flat_in, used = into.reshape(n, -1), window.inputs.ravel()
+        dn = dh * to_cand[t]
+        into[t, :, :HIDDEN] = dh * to_z[t]
+        into[t, :, HIDDEN : 2 * HIDDEN] = dn * to_r[t]
+        into[t, :, 2 * HIDDEN :] = dn
+        state[t] = into[t]
+        state[t, :, 2 * HIDDEN :] *= r[t]
+        dh = dh * z[t] + state[t] @ keep + back[t]
+        if opens[t]:
+            dh[window.first[t]] = 0
+    flat_in = into.reshape(n, -1)
+    g["keep"] = rows.T @ state.reshape(n, -1)
     g["bias"] = flat_in.sum(0)
     g["read"] = p["embed"][used].T @ flat_in
     np.add.at(g["embed"], used, flat_in @ p["read"].T)

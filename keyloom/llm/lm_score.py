@@ -40,7 +40,7 @@ MEMBERS = 64
 ENDINGS = 96
 #: Of the training documents, each round reads those of one residue of ``SHARES``.
 ROUNDS = 2
-SHARES = 16
+SHARES = 8
 #: Copies averaged in one task.
 FAN_IN = 64
 #: Different words a counting task holds, and tokens scored or trained at once.
