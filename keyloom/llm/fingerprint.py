@@ -24,7 +24,11 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
 
     A text of fewer words has one shingle, its whole sequence; none, no shingle.
     """
-    words = ascii_words(text)
+    return hashes_of(ascii_words(text), size)
+
+
+def hashes_of(words: list[bytes], size: int) -> np.ndarray:
+    """The hashes of the shingles of a list of words."""
     if not words:
         return np.empty(0, np.uint64)
     if len(words) <= size:
