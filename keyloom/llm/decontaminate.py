@@ -12,12 +12,13 @@ names is caught, and a chance match of the template is not.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ SHARE = 0.8
 #: Benchmark windows in one broadcast table; a larger benchmark is taken in
 #: blocks of items, each against all documents.
 BLOCK_WINDOWS = 1_000_000
+#: Leading bits of a window's hash that tell most windows from the benchmark's.
+MARKS = 20
 #: Words remembered by a worker between texts; the memory is emptied when full.
 MEMORY = 300_000
 
@@ -37,37 +40,38 @@ NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr hrs day days week weeks month months year years hour hours minute minutes second seconds meter meters metre metres kilometer kilometers kilometre kilometres mile miles foot feet inch inches gram grams kilogram kilograms pound pounds liter liters litre litres dollar dollars euro euros cent cents percent degree degrees".split())
 
 EDGE = "\"'`“”‘’«»()[]{}<>.,;:!?¿¡*#&%$|…-"
+CLOSERS = "\"'”’)]}"
+ENDERS = tuple(".!?:*#&%$")
 PLAIN, NUM, UNIT, NAME, ENDS = 0, 1, 2, 4, 8
-M61 = np.uint64((1 << 61) - 1)
 
 
-def _hash(kind: str, value: str = "") -> int:
-    """A 61-bit hash of a typed word."""
-    raw = f"{kind} {value}".encode("utf-8", "replace")
-    return (zlib.crc32(raw) << 29 ^ zlib.crc32(raw[::-1] + b"\x00") ^ zlib.adler32(raw) << 13) & ((1 << 61) - 1)
+def _hash(word: str) -> int:
+    """A 61-bit hash of a word."""
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "replace"), 61) >> 3
 
 
-SLOT = {NUM: _hash("slot", "number"), UNIT: _hash("slot", "unit"), NAME: _hash("slot", "name")}
+#: No word has white space in it, so no word's hash is meant to be one of these.
+SLOT = {NUM: _hash("a number"), UNIT: _hash("a unit"), NAME: _hash("a name")}
+KINDS = dict.fromkeys(NUMBER_WORDS, NUM) | dict.fromkeys(UNITS, UNIT)
 
 
 class Words(dict):
-    """word -> (template hash, value hash, flags), remembered up to ``MEMORY`` words."""
+    """word -> (hash without case and outer punctuation, flags), up to ``MEMORY`` words."""
 
-    def __missing__(self, word: str) -> tuple[int, int, int]:
+    def __missing__(self, word: str) -> tuple[int, int]:
         if len(self) >= MEMORY:
             self.clear()
-        core = word.strip(EDGE)
+        core = word if word.isalpha() else word.strip(EDGE)
         low = core.lower()
-        flags = PLAIN
-        if NUMBER.fullmatch(core) or low in NUMBER_WORDS:
-            flags |= NUM
-        elif low in UNITS:
-            flags |= UNIT
-        elif core[:1].isupper() and core[1:].islower():
-            flags |= NAME
-        if word.rstrip("\"'”’)]}")[-1:] in (".", "!", "?", ":", "*", "#", "&", "%", "$"):
+        flags = KINDS.get(low, PLAIN)
+        if not flags:
+            if not core.isalpha() and NUMBER.fullmatch(core):
+                flags = NUM
+            elif core[:1].isupper() and core[1:].islower():
+                flags = NAME
+        if core is not word and word.rstrip(CLOSERS)[-1:] in ENDERS:
             flags |= ENDS
-        self[word] = out = (_hash("word", low), _hash("value", low), flags)
+        self[word] = out = (_hash(low), flags)
         return out
 
 
@@ -85,14 +89,13 @@ def template(text: str | None, memory: Words) -> Template:
     A capitalised word is a name unless it opens the text, a line or a sentence;
     a unit is one only after a number.  Empty tokens of punctuation stay words.
     """
-    words: list[str] = []
-    opens: list[int] = []
-    for line in (text or "").split("\n"):
-        opens.append(len(words))
-        words += line.split()
+    lines = (text or "").split("\n")
+    split = [line.split() for line in lines]
+    words = list(chain.from_iterable(split))
+    opens = np.cumsum([0, *map(len, split)])
     n = len(words)
-    typed = np.array([memory[w] for w in words], np.int64).reshape(n, 3)
-    flags = typed[:, 2]
+    typed = np.fromiter(chain.from_iterable(map(memory.__getitem__, words)), np.int64, 2 * n).reshape(n, 2)
+    flags = typed[:, 1]
     first = np.zeros(n + 1, bool)
     first[1:] = (flags & ENDS) > 0
     first[opens] = True
@@ -104,7 +107,7 @@ def template(text: str | None, memory: Words) -> Template:
     out = typed[:, 0].copy()
     for where, kind in ((number, NUM), (unit, UNIT), (name, NAME)):
         out[where] = SLOT[kind]
-    return Template(out.astype(np.uint64), np.where(number | unit | name, typed[:, 1], 0))
+    return Template(out.astype(np.uint64), np.where(number | unit | name, typed[:, 0], 0))
 
 
 def windows(words: np.ndarray, size: int) -> np.ndarray:
@@ -135,22 +138,31 @@ class Benchmark:
             hashes.append(h)
             item.append(np.full(len(h), i))
             place.append(np.arange(len(h)))
+        self.lengths = np.array([len(t.words) for t in self.templates], np.int64)
         self.short = sorted({len(t.words) for t in self.templates if 0 < len(t.words) < window})
         h = np.concatenate(hashes)
         order = np.argsort(h, kind="stable")
+        #: Whether any window's hash begins with these bits.
+        self.marks = np.zeros(1 << MARKS, bool)
+        self.marks[(h >> np.uint64(64 - MARKS)).astype(np.int64)] = True
         self.hashes, self.item, self.place = h[order], np.concatenate(item)[order], np.concatenate(place)[order]
 
     def met(self, words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """item, place in the item and place in the document of each window in common."""
         found = windows(words, size)
-        low = np.searchsorted(self.hashes, found)
-        at = np.flatnonzero(low < len(self.hashes))
-        at = at[self.hashes[low[at]] == found[at]]
-        count = np.searchsorted(self.hashes, found[at], side="right") - low[at]
-        rows = np.repeat(low[at], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        if not len(found) or not len(self.hashes):
+            return (np.empty(0, np.int64),) * 3
+        at = np.flatnonzero(self.marks[(found >> np.uint64(64 - MARKS)).astype(np.int64)])
+        low = np.searchsorted(self.hashes, found[at])
+        hit = low < len(self.hashes)
+        at, low = at[hit], low[hit]
+        hit = self.hashes[low] == found[at]
+        at, low = at[hit], low[hit]
+        count = np.searchsorted(self.hashes, found[at], side="right") - low
+        rows = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         item = self.item[rows]
-        long = np.array([len(t.words) for t in self.templates])[item] >= self.size if size == self.size else np.array([len(t.words) for t in self.templates])[item] == size
-        return item[long], self.place[rows][long], np.repeat(at, count)[long]
+        own = self.lengths[item] >= size if size == self.size else self.lengths[item] == size
+        return item[own], self.place[rows][own], np.repeat(at, count)[own]
 
     def leaks(self, text: str | None, memory: Words, share: float) -> list[tuple[int, float, int]]:
         """(item id, share of its windows, differing slot values) of each leaked item.
