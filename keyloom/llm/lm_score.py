@@ -45,7 +45,7 @@ SHARES = 8
 FAN_IN = 64
 #: Different words a counting task holds, and tokens scored or trained at once.
 HELD_WORDS = 400_000
-BLOCK = 4_000_000
+BLOCK = 2_500_000
 #: Words that are looked up at once.
 SLICE = 100_000
 TRAIN_BLOCK = 60_000
