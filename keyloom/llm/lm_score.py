@@ -38,9 +38,8 @@ HEAD = 1 << 17
 EXPLICIT = 2048
 MEMBERS = 64
 ENDINGS = 96
-#: Of the training documents, each round reads those of one residue of ``SHARES``.
+#: The training documents are dealt to the rounds by hash; each is read in one.
 ROUNDS = 2
-SHARES = 8
 #: Copies averaged in one task.
 FAN_IN = 64
 #: Different words a counting task holds, and tokens scored or trained at once.
@@ -217,7 +216,7 @@ def _averaged(copies: DataFrame, fan_in: int) -> DataFrame:
 
 
 def train(texts: DataFrame, words: Lexicon, rounds: int = ROUNDS) -> Params:
-    """The model after ``rounds`` rounds over shares of the texts (doc_id, text)."""
+    """The model after one pass over all texts (doc_id, text), dealt to ``rounds`` rounds."""
     params = words.start()
     spark = texts.sparkSession
     for number in range(rounds):
@@ -233,7 +232,7 @@ def train(texts: DataFrame, words: Lexicon, rounds: int = ROUNDS) -> Params:
             if read:
                 yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "tokens": [float(read)], "params": [gated.flat(trainer.p).tobytes()]})
 
-        share = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)) == number).select("text")
+        share = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == number).select("text")
         copies = share.mapInPandas(run, "part long, tokens double, params binary")
         rows = _averaged(_averaged(copies, FAN_IN), FAN_IN).collect()
         if rows:

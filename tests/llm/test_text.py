@@ -47,6 +47,13 @@ def test_base_and_gain(spark, sf_dir, head):
     assert all(r.score <= 0 for r in got)
 
 
+@pytest.mark.parametrize("doc_id", [None, *range(12)])
+def test_every_training_document_is_learned(spark, doc_id):
+    _, _, lexicon = small_lexicon()
+    learned = lm_score.train(spark.createDataFrame([(doc_id, "the dog sat on the cat " * 40)], "doc_id long, text string"), lexicon)
+    assert any((learned[k] != v).any() for k, v in lexicon.start().items())
+
+
 def test_lm_odd_rows(spark):
     df, rows = odd(spark)
     got = lm_score.lm_score(df, head=3).collect()
