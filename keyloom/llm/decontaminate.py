@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -26,6 +27,9 @@ from pyspark.sql import functions as F
 WINDOW = 5
 #: Least share of an item's windows that a document must contain.
 SHARE = 0.8
+#: Words in no slot that an item shorter than a window must keep if a word that
+#: opens it is taken as a name.
+LITERAL = 2
 #: Benchmark windows in one broadcast table; a larger benchmark is taken in
 #: blocks of items, each against all documents.
 BLOCK_WINDOWS = 1_000_000
@@ -75,19 +79,31 @@ class Words(dict):
         return out
 
 
+@cache
+def choices(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Non-empty subsets of each word of ``size`` bits in a row, where its own begin, and how many."""
+    own = [[m for m in range(1, b + 1) if m & b == m] for b in range(1 << size)]
+    count = np.array([len(x) for x in own])
+    return np.array(list(chain.from_iterable(own)), np.int64), np.cumsum(count) - count, count
+
+
 @dataclass
 class Template:
-    """Hashes of the typed words, and for each slot the hash of its value (else 0)."""
+    """Hashes of the typed words and of the words, which places are slots, and which
+    are names that open a text, a line or a sentence, so that they may be words."""
 
     words: np.ndarray
-    values: np.ndarray
+    low: np.ndarray
+    slot: np.ndarray
+    name: np.ndarray
+    either: np.ndarray
 
 
 def template(text: str | None, memory: Words) -> Template:
     """The template of a text.
 
-    A capitalised word is a name unless it opens the text, a line or a sentence;
-    a unit is one only after a number.  Empty tokens of punctuation stay words.
+    A capitalised word is a name; one that opens the text, a line or a sentence
+    may be a name.  A unit is one only after a number.  Empty tokens of punctuation stay words.
     """
     lines = (text or "").split("\n")
     split = [line.split() for line in lines]
@@ -103,11 +119,12 @@ def template(text: str | None, memory: Words) -> Template:
     after_number[1:] = (flags[:-1] & NUM) > 0
     number = (flags & NUM) > 0
     unit = ((flags & UNIT) > 0) & after_number
-    name = ((flags & NAME) > 0) & ~first[:n]
+    capital = (flags & NAME) > 0
+    name, either = capital & ~first[:n], capital & first[:n]
     out = typed[:, 0].copy()
     for where, kind in ((number, NUM), (unit, UNIT), (name, NAME)):
         out[where] = SLOT[kind]
-    return Template(out.astype(np.uint64), np.where(number | unit | name, typed[:, 0], 0))
+    return Template(out.astype(np.uint64), typed[:, 0].copy(), number | unit | name, name, either)
 
 
 def windows(words: np.ndarray, size: int) -> np.ndarray:
@@ -122,6 +139,34 @@ def windows(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def all_windows(t: Template, size: int, literal: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the windows, with each choice of names among opening words.
+
+    A choice leaves at least ``literal`` words that are in no slot.
+    """
+    plain = windows(t.words, size)
+    n = len(plain)
+    bits = np.zeros(n, np.int64)
+    for i in range(size):
+        bits |= t.either[i : i + n].astype(np.int64) << i
+    some = np.flatnonzero(bits)
+    if not len(some):
+        return plain, np.arange(n)
+    subsets, start, count = choices(size)
+    bits = bits[some]
+    times = count[bits]
+    at = np.repeat(some, times)
+    chosen = subsets[np.repeat(start[bits] - np.cumsum(times) + times, times) + np.arange(len(at))]
+    if literal:
+        fixed = sum((~t.slot[i : i + n])[at].astype(np.int64) for i in range(size)) - np.bitwise_count(chosen)
+        at, chosen = at[fixed >= literal], chosen[fixed >= literal]
+    out = np.zeros(len(at), np.uint64)
+    for i in range(size):
+        out = (out ^ np.where(chosen >> i & 1, np.uint64(SLOT[NAME]), t.words[at + i])) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.concatenate([plain, out]), np.concatenate([np.arange(n), at])
+
+
 class Benchmark:
     """Windows of a block of items as sorted arrays, with the items' templates."""
 
@@ -133,11 +178,12 @@ class Benchmark:
         hashes, item, place = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         self.totals = np.zeros(len(items), np.int64)
         for i, t in enumerate(self.templates):
-            h = windows(t.words, min(window, len(t.words))) if len(t.words) else np.empty(0, np.uint64)
-            self.totals[i] = len(h)
+            size = min(window, len(t.words))
+            h, at = all_windows(t, size, LITERAL if size < window else 0) if size else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            self.totals[i] = len(t.words) - size + 1 if size else 0
             hashes.append(h)
             item.append(np.full(len(h), i))
-            place.append(np.arange(len(h)))
+            place.append(at)
         self.lengths = np.array([len(t.words) for t in self.templates], np.int64)
         self.short = sorted({len(t.words) for t in self.templates if 0 < len(t.words) < window})
         h = np.concatenate(hashes)
@@ -147,9 +193,9 @@ class Benchmark:
         self.marks[(h >> np.uint64(64 - MARKS)).astype(np.int64)] = True
         self.hashes, self.item, self.place = h[order], np.concatenate(item)[order], np.concatenate(place)[order]
 
-    def met(self, words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def met(self, doc: Template, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """item, place in the item and place in the document of each window in common."""
-        found = windows(words, size)
+        found, where = all_windows(doc, size, LITERAL if size < self.size else 0)
         if not len(found) or not len(self.hashes):
             return (np.empty(0, np.int64),) * 3
         at = np.flatnonzero(self.marks[(found >> np.uint64(64 - MARKS)).astype(np.int64)])
@@ -162,7 +208,7 @@ class Benchmark:
         rows = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         item = self.item[rows]
         own = self.lengths[item] >= size if size == self.size else self.lengths[item] == size
-        return item[own], self.place[rows][own], np.repeat(at, count)[own]
+        return item[own], self.place[rows][own], where[np.repeat(at, count)[own]]
 
     def leaks(self, text: str | None, memory: Words, share: float) -> list[tuple[int, float, int]]:
         """(item id, share of its windows, differing slot values) of each leaked item.
@@ -173,7 +219,7 @@ class Benchmark:
         doc = template(text, memory)
         out: list[tuple[int, float, int]] = []
         for size in {self.size, *self.short}:
-            item, place, at = self.met(doc.words, size)
+            item, place, at = self.met(doc, size)
             for i in np.unique(item).tolist():
                 own = item == i
                 if len(np.unique(place[own])) < share * self.totals[i]:
@@ -209,9 +255,10 @@ class Benchmark:
     def _consistent(self, i: int, doc: Template, place: np.ndarray, at: np.ndarray, size: int) -> int | None:
         """Differing slot values, or None if the values don't map one to one."""
         step = np.arange(size)
-        own = self.templates[i].values[(place[:, None] + step).ravel()]
-        other = doc.values[(at[:, None] + step).ravel()]
-        slot = own != 0
+        mine = self.templates[i]
+        where = (place[:, None] + step).ravel()
+        own, other = mine.low[where], doc.low[(at[:, None] + step).ravel()]
+        slot = (mine.slot | mine.either)[where]
         pairs = set(zip(own[slot].tolist(), other[slot].tolist(), strict=True))
         if len({a for a, _ in pairs}) < len(pairs) or len({b for _, b in pairs}) < len(pairs):
             return None

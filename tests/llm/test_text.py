@@ -277,6 +277,23 @@ def test_reparameterised_questions(spark):
     assert found[1].changed_slots >= 3 and found[6].item_ids == [2]
 
 
+def test_questions_whose_sentences_open_with_a_name(spark):
+    item = "Tom has 3 apples. Tom buys 5 more apples. How many apples does Tom have now?"
+    mid = "Every week the shop sells apples to Anna and plums to Boris who eats them all"
+    texts = [
+        item.replace("Tom", "Anna"),
+        item.replace("Tom", "Anna").replace("3", "4").replace(". ", ".\n"),
+        "So: " + item.replace("How", "how").replace("Tom", "Anna"),
+        mid.replace("Anna", "\nMaria").replace("Boris", "\nPeter"),
+        "Tom sees many pears. How does Anna sell them now?",
+        "Anna went. Maria came.",
+        "Anna went home",
+    ]
+    found = leaks(spark, *texts, items=((1, item), (2, mid), (3, "Tom slept"), (4, "Eve went home")))
+    assert {d: r.item_ids for d, r in found.items()} == {0: [1], 1: [1], 2: [1], 3: [2], 6: [4]}
+    assert found[0].best_share == 1.0 and found[0].changed_slots == 1
+
+
 def test_leaks_in_blocks_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, QUESTION), (None, QUESTION)], "doc_id long, text string")
     bench = spark.createDataFrame([(i, QUESTION if i == 3 else f"filler words number one two {i} five six seven") for i in range(6)], "item_id long, text string")
