@@ -3,15 +3,18 @@
 Numbers, units after a number, and names become typed placeholders; every other
 word is lower-cased with its outer punctuation off.  Windows of the resulting
 templates are hash-joined between documents and benchmark items.  A document
-leaks an item if windows on one alignment cover enough of the item, and the
-values in the slots there map one to one: the same value in the item always meets
-the same value in the document.  So a question that only got other numbers or
-names is caught, and a chance match of the template is not.
+leaks an item if windows on one alignment cover enough of the item, and enough of
+the names there map one to one: the same name in the item meets the same name in
+the document.  Numbers and units may coincide or part by chance and are free, and
+a passage that is the item's word for word, except at one place or in as few
+windows as may be missing, leaks whatever its names.  So a question that only got other numbers or
+names is caught, and one whose names fall together otherwise is not.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -224,12 +227,12 @@ class Benchmark:
                 own = item == i
                 if len(np.unique(place[own])) < share * self.totals[i]:
                     continue
-                best = self._aligned(i, doc, place[own], at[own], min(size, self.size))
+                best = self._aligned(i, doc, place[own], at[own], min(size, self.size), share)
                 if best and best[0] >= share:
                     out.append((self.ids[i], *best))
         return sorted(out)
 
-    def _aligned(self, i: int, doc: Template, place: np.ndarray, at: np.ndarray, size: int) -> tuple[float, int] | None:
+    def _aligned(self, i: int, doc: Template, place: np.ndarray, at: np.ndarray, size: int, least: float) -> tuple[float, int] | None:
         """Share and differing slots of the best stretch of the document, if one is consistent."""
         length = len(self.templates[i].words)
         order = np.argsort(at, kind="stable")
@@ -239,10 +242,10 @@ class Benchmark:
         shift = at - place
         for base in np.unique(shift).tolist():
             near = np.abs(shift - base) <= max(2, length // 5)
-            slots = self._consistent(i, doc, place[near], at[near], size)
+            slots = self._consistent(i, doc, place[near], at[near], size, least)
             if slots is None:
                 near = shift == base
-                slots = self._consistent(i, doc, place[near], at[near], size)
+                slots = self._consistent(i, doc, place[near], at[near], size, least)
             if slots is None:
                 continue
             share = len(np.unique(place[near])) / self.totals[i]
@@ -252,17 +255,29 @@ class Benchmark:
                     break
         return best
 
-    def _consistent(self, i: int, doc: Template, place: np.ndarray, at: np.ndarray, size: int) -> int | None:
-        """Differing slot values, or None if the values don't map one to one."""
-        step = np.arange(size)
+    def _consistent(self, i: int, doc: Template, place: np.ndarray, at: np.ndarray, size: int, share: float) -> int | None:
+        """Differing slot values, or None if too few names map one to one and the words aren't the item's."""
         mine = self.templates[i]
-        where = (place[:, None] + step).ravel()
-        own, other = mine.low[where], doc.low[(at[:, None] + step).ravel()]
-        slot = (mine.slot | mine.either)[where]
-        pairs = set(zip(own[slot].tolist(), other[slot].tolist(), strict=True))
-        if len({a for a, _ in pairs}) < len(pairs) or len({b for _, b in pairs}) < len(pairs):
-            return None
-        return sum(a != b for a, b in pairs)
+        step = np.arange(size)
+        where, there = (place[:, None] + step), (at[:, None] + step)
+        same = mine.low[where] == doc.low[there]
+        found = set(zip(where.ravel().tolist(), there.ravel().tolist(), strict=True))
+        spots = [(w, a, b) for w, t in found if mine.slot[w] | mine.either[w] for a, b in [(int(mine.low[w]), int(doc.low[t]))]]
+        slots = len({(a, b) for _, a, b in spots if a != b})
+        if len(np.unique(where[~same])) <= 1 or len(np.unique(place[same.all(1)])) >= share * self.totals[i]:
+            return slots
+        # A word that opens a sentence counts as a name if it is one elsewhere or differs.
+        names = set(mine.low[mine.name].tolist()) | {a for w, a, b in spots if mine.either[w] and a != b}
+        pairs = Counter((a, b) for w, a, b in spots if a in names and (mine.name[w] or mine.either[w]))
+        left: set[int] = set()
+        right: set[int] = set()
+        agree = 0
+        for (a, b), n in sorted(pairs.items(), key=lambda x: (-x[1], x[0][0] != x[0][1], x[0])):
+            if a not in left and b not in right:
+                left.add(a)
+                right.add(b)
+                agree += n
+        return slots if agree >= share * pairs.total() else None
 
 
 def _blocks(benchmark: DataFrame, most: int) -> list[list[tuple[int, str]]]:
@@ -284,8 +299,8 @@ def leaked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: f
 
     Needs doc_id and text of ``docs`` and item_id and text of ``benchmark``; other
     columns are ignored, whatever their names.  An item leaks into a document that
-    contains at least ``share`` of its template windows of ``window`` words with
-    slot values that map one to one; an item of fewer words is one window.  Null
+    contains at least ``share`` of its template windows of ``window`` words, and at
+    least that share of the names in them map one to one or the words are the item's; an item of fewer words is one window.  Null
     and empty texts neither leak nor are leaked; null ids are kept as null.
     best_share and changed_slots are of the best item; repeated rows each get a
     row.  A benchmark of many words gives a row for each of its blocks.

@@ -294,6 +294,20 @@ def test_questions_whose_sentences_open_with_a_name(spark):
     assert found[0].best_share == 1.0 and found[0].changed_slots == 1
 
 
+def test_slots_may_coincide_or_differ_once(spark):
+    item = "the shop of Anna sells 5 pears and 3 plums to each child while 2 boxes of 2 pears and 5 plums stay in the shop of Anna overnight"
+    texts = [
+        item.replace("5 plums", "6 plums"),
+        item.replace("of Anna overnight", "of Maria overnight"),
+        item.replace("5 pears", "4 pears").replace("3 plums", "4 plums"),
+        item.replace("2 boxes of 2", "3 boxes of 4").replace("Anna", "Maria"),
+        item.replace("of Anna overnight", "of Maria overnight").replace("3 plums", "4 plums").replace("5 pears", "9 pears"),
+    ]
+    found = leaks(spark, *texts, items=((1, item),))
+    assert sorted(found) == [0, 1, 2, 3]
+    assert [found[i].changed_slots for i in range(3)] == [1, 1, 2]
+
+
 def test_leaks_in_blocks_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, QUESTION), (None, QUESTION)], "doc_id long, text string")
     bench = spark.createDataFrame([(i, QUESTION if i == 3 else f"filler words number one two {i} five six seven") for i in range(6)], "item_id long, text string")
