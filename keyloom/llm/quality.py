@@ -5,7 +5,8 @@ words and of their ends, and whether words repeat.  A bounded sample of labelled
 texts fits a weighting of rare features and a truncated singular value
 decomposition, and its vectors, with their labels, are broadcast.  Every document
 is projected and its cosine to every labelled vector computed in blocks; the
-``NEIGHBOURS`` nearest vote with weights that grow with similarity.
+``NEIGHBOURS`` nearest vote with weights that grow with similarity and with the
+number of labelled texts that each stands for.
 """
 
 from __future__ import annotations
@@ -78,13 +79,15 @@ def counts(text: str | None, memory: Features) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Feature weights, projection, labelled unit vectors, labels and their mean."""
+    """Feature weights, projection, labelled unit vectors, labels, their mean, and how
+    many labelled texts each vector stands for."""
 
     weights: np.ndarray
     projection: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
     prior: float
+    stands: np.ndarray
 
     def project(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         return _unit(weighted(rows, self.weights) @ self.projection)
@@ -96,7 +99,7 @@ class Model:
         near = self.project(rows) @ self.vectors.T
         k = min(NEIGHBOURS, near.shape[1])
         top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(near, top, 1), 0) ** SHARPNESS
+        weight = np.maximum(np.take_along_axis(near, top, 1), 0) ** SHARPNESS * self.stands[top]
         total = weight.sum(1)
         votes = (weight * self.labels[top]).sum(1)
         return np.clip(np.where(total > 0, votes / np.where(total > 0, total, 1), self.prior), 0.0, 1.0)
@@ -121,7 +124,7 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weight: np.ndarray) -> Model:
     """The model of labelled rows; ``weight`` is how many labelled texts a row stands for."""
     if not rows:
-        return Model(np.ones(FEATURES, np.float32), np.zeros((FEATURES, 1), np.float32), np.zeros((0, 1), np.float32), labels, 0.5)
+        return Model(np.ones(FEATURES, np.float32), np.zeros((FEATURES, 1), np.float32), np.zeros((0, 1), np.float32), labels, 0.5, weight)
     seen = np.zeros(FEATURES)
     for ids, _ in rows:
         seen[ids] += 1
@@ -129,7 +132,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weight: n
     matrix = weighted(rows, weights)
     _, _, right = np.linalg.svd(matrix, full_matrices=False)
     projection = np.ascontiguousarray(right[:RANK].T)
-    return Model(weights, projection, _unit(matrix @ projection), labels.astype(np.float64), float((labels * weight).sum() / weight.sum()))
+    return Model(weights, projection, _unit(matrix @ projection), labels.astype(np.float64), float((labels * weight).sum() / weight.sum()), weight)
 
 
 def _featured(texts: DataFrame, columns: str) -> DataFrame:
@@ -146,23 +149,24 @@ def _featured(texts: DataFrame, columns: str) -> DataFrame:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """doc_id, text, quality of at most ``sample`` training rows of each label.
+    """doc_id, text, quality, stands of at most ``sample`` training rows of each label.
 
-    Each label's rows with the smallest hash of doc_id; the ids are at most twice
+    stands: the label's training rows for each one chosen.  Each label's rows with the smallest hash of doc_id; the ids are at most twice
     ``sample``, so they are broadcast to the documents.
     """
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)").where(crc_mod(F.col("doc_id"), 5) != 0)
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = [known.where(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
-    ids = stable(chosen[0].unionAll(chosen[1]))
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    size = known.groupBy("quality").agg(F.count("*").alias("n"))
+    ids = stable(chosen[0].unionAll(chosen[1]).join(F.broadcast(size), "quality").select("doc_id", "quality", (F.col("n") / F.least("n", F.lit(sample))).alias("stands")))
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality", "stands").agg(F.min("text").alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits the model on a bounded sample; only its sparse counts reach the driver."""
-    rows = _featured(labelled(docs, labels, sample), "doc_id long, quality int").orderBy("doc_id").collect()
+    rows = _featured(labelled(docs, labels, sample), "doc_id long, quality int, stands double").orderBy("doc_id").collect()
     y = np.array([r.quality for r in rows], np.float64)
-    return fit([(np.array(r.ids), np.array(r.times)) for r in rows], y, np.ones(len(rows)))
+    return fit([(np.array(r.ids), np.array(r.times)) for r in rows], y, np.array([r.stands for r in rows], np.float64))
 
 
 def score(texts: DataFrame, model: Model) -> DataFrame:

@@ -201,6 +201,19 @@ def test_votes_are_exact_cosines():
         assert s == pytest.approx((w * y[:60][top]).sum() / w.sum(), abs=1e-4)
 
 
+def test_votes_keep_the_ratio_of_labels(spark):
+    r = random.Random(5)
+    text = lambda: " ".join(r.choice("abcdefghijklmnopqrst") for _ in range(40))
+    docs = spark.createDataFrame([(i, text()) for i in range(1400)], "doc_id long, text string")
+    labels = docs.select("doc_id", F.when(F.col("doc_id") % 7 == 0, 0).otherwise(1).alias("quality"))
+    memory = quality.Features()
+    rows = [quality.counts(text(), memory) for _ in range(200)]
+    for sample in (1400, 100):
+        model = quality.train(docs, labels, sample)
+        assert model.prior == pytest.approx(6 / 7, abs=0.02)
+        assert model.scores(rows).mean() == pytest.approx(6 / 7, abs=0.05)
+
+
 def check_packed(rows, docs):
     from tokenizers import Tokenizer
 
