@@ -81,34 +81,24 @@ def simhash(text: Column, size: int, distinct: bool = False) -> Column:
     return fingerprints(text)
 
 
-#: Bins of a sketch.  Texts of fewer shingles have mostly one in a bin, so that
-#: sketches tell their similarity nearly exactly.
-BINS = 512
-
-
-def sketch(hashes: np.ndarray) -> bytes:
-    """One-permutation min-hash: 16 bits of the least hash in each bin; 0: empty bin."""
-    out = np.zeros(BINS, np.uint16)
-    values = np.unique(hashes)
-    bins = (values >> np.uint64(55)).astype(np.int64)
-    first = np.flatnonzero(np.append(True, bins[1:] != bins[:-1])) if len(bins) else np.empty(0, np.int64)
-    out[bins[first]] = 1 + (values[first] & np.uint64(0xFFFFFFFF)) % np.uint64(65535)
-    return out.tobytes()
-
-
-def sketches(text: Column, size: int) -> Column:
-    """Sketch of the text's distinct shingles."""
+def shingle_sets(text: Column, size: int) -> Column:
+    """The distinct shingle hashes of each text, sorted, as 64-bit words in bytes."""
 
     @F.pandas_udf("binary")
-    def made(texts: pd.Series) -> pd.Series:
-        return pd.Series([sketch(shingle_hashes(t, size)) for t in texts], dtype=object)
-
-    return made(text)
-
-
-def resemblance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of rows of sketches; 1 for two empty ones."""
-    some = (a | b) != 0
-    same = (a == b) & some
-    n = some.sum(1)
-    return np.where(n > 0, same.sum(1) / np.maximum(n, 1), 1.0)
+    def sets(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, size)).tobytes() for t in texts], dtype=object)
+
+    return sets(text)
+
+
+def resemblance(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets of hashes; 1 for two empty ones."""
+    if not len(a) and not len(b):
+        return 1.0
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return 0.0
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    same = int((b[at] == a).sum())
+    return same / (len(a) + len(b) - same)

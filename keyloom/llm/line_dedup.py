@@ -39,22 +39,11 @@ def boilerplate(pages: DataFrame, ratio: float, min_pages: int) -> DataFrame:
     return common.where(F.col("n") > F.lit(ratio) * F.col("total")).select("host", "key")
 
 
-def line_dedup(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """All columns of ``docs`` with boilerplate lines gone from text, and two counts.
-
-    A line is boilerplate if more than ``ratio`` of its host's rows, and at least
-    ``min_pages``, contain it; each row is a page, repeated rows too, and counts a
-    line once.  Lines end at a line feed and are compared without white space at
-    either end; blank ones are neither counted nor dropped.  A page with nothing
-    but boilerplate is a copy of a page, not a frame around one: it stays as it
-    is, for other operators.  Null hosts are one host.  A null text stays null
-    and has no lines.  n_chars, if there, becomes the new length where lines went.
-
-    Added: n_lines and n_dropped (columns of these names are replaced).
-    """
-    held = docs.drop("n_lines", "n_dropped")
-    page = F.struct(*[F.col(f"`{c}`") for c in held.columns]).alias("page")
-    pages = held.select(page).select("page", F.coalesce(F.col(f"page.`{host}`").cast("string"), F.lit("")).alias("host"), F.split("page.text", "\n").alias("lines"))
+def _cleaned(docs: DataFrame, host: str, ratio: float, min_pages: int, keep_whole: bool) -> tuple[DataFrame, list[Column]]:
+    """Rows with page (the row of ``docs``), lines and dropped (how many go), and
+    the columns of ``docs`` after that."""
+    page = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("page")
+    pages = docs.select(page).select("page", F.coalesce(F.col(f"page.`{host}`").cast("string"), F.lit("")).alias("host"), F.split("page.text", "\n").alias("lines"))
     common = stable(boilerplate(pages.select("host", "lines"), ratio, min_pages))
     bad = common.groupBy("host").agg(F.collect_list("key").alias("bad"))
     if common.count() <= BROADCAST_LINES:
@@ -62,15 +51,42 @@ def line_dedup(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_
     joined = pages.join(bad, "host", "left")
     keeps = F.filter("lines", lambda x: (_trimmed(x) == "") | ~F.array_contains("bad", _key(_trimmed(x))))
     left = joined.select("page", "lines", F.when(F.col("bad").isNotNull(), keeps).otherwise(F.col("lines")).alias("kept"))
-    some = F.exists("kept", lambda x: _trimmed(x) != "")
-    left = left.withColumn("kept", F.when(some, F.col("kept")).otherwise(F.col("lines")))
-    dropped = F.coalesce(F.size("lines") - F.size("kept"), F.lit(0))
-    dropped = F.when(F.col("lines").isNull(), 0).otherwise(dropped)
-    text = F.when(dropped > 0, F.array_join("kept", "\n")).otherwise(F.col("page.text"))
+    if keep_whole:
+        some = F.exists("kept", lambda x: _trimmed(x) != "")
+        left = left.withColumn("kept", F.when(some, F.col("kept")).otherwise(F.col("lines")))
+    dropped = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines") - F.size("kept"))
+    left = left.withColumn("dropped", dropped)
+    text = F.when(F.col("dropped") > 0, F.array_join("kept", "\n")).otherwise(F.col("page.text"))
     new = {"text": text}
-    if "n_chars" in held.columns:
-        kind = held.schema["n_chars"].dataType
-        new["n_chars"] = F.when(dropped > 0, F.length(text).cast(kind)).otherwise(F.col("page.n_chars"))
-    columns = [new.get(c, F.col(f"page.`{c}`")).alias(c) for c in held.columns]
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(F.col("dropped") > 0, F.length(text).cast(kind)).otherwise(F.col("page.n_chars"))
+    return left, [new.get(c, F.col(f"page.`{c}`")).alias(c) for c in docs.columns]
+
+
+def line_dedup(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, keep_whole: bool = False) -> DataFrame:
+    """All columns of ``docs`` with boilerplate lines gone from text, and two counts.
+
+    A line is boilerplate if more than ``ratio`` of its host's rows, and at least
+    ``min_pages``, contain it; each row is a page, repeated rows too, and counts a
+    line once.  Lines end at a line feed and are compared without white space at
+    either end; blank ones are neither counted nor dropped.  A page of nothing
+    but boilerplate loses all its lines; with ``keep_whole`` it stays as it is, as
+    a copy of a page rather than a frame around one.  Null hosts are one host.  A
+    null text stays null and has no lines.  n_chars, if there, becomes the new
+    length where lines went.  An empty table gives none.
+
+    Added: n_lines and n_dropped (columns of these names are replaced).
+    """
+    left, columns = _cleaned(docs.drop("n_lines", "n_dropped"), host, ratio, min_pages, keep_whole)
     n_lines = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines"))
-    return left.select(*columns, n_lines.alias("n_lines"), dropped.alias("n_dropped"))
+    return left.select(*columns, n_lines.alias("n_lines"), F.col("dropped").alias("n_dropped"))
+
+
+def without_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, keep_whole: bool = True) -> DataFrame:
+    """``docs`` with boilerplate lines gone from text, every other column as it was.
+
+    See ``line_dedup``; n_chars, if there, becomes the new length.
+    """
+    left, columns = _cleaned(docs, host, ratio, min_pages, keep_whole)
+    return left.select(*columns)

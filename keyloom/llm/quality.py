@@ -11,6 +11,7 @@ number of labelled texts that each stands for.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -59,8 +60,8 @@ class Features(dict):
 def counts(text: str | None, memory: Features) -> tuple[np.ndarray, np.ndarray]:
     """Features of a text and how often each occurs; the last 16 are of the whole.
 
-    Of the whole: the share of words that repeat the word before, the share of
-    different words and the mean length, each in steps.
+    Of the whole: the share of words that repeat the word before, in steps, and
+    whether there are none.
     """
     words = (text or "").encode("utf-8", "replace").split()
     n = len(words)
@@ -151,7 +152,8 @@ def _featured(texts: DataFrame, columns: str) -> DataFrame:
 def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     """doc_id, text, quality, stands of at most ``sample`` training rows of each label.
 
-    stands: the label's training rows for each one chosen.  Each label's rows with the smallest hash of doc_id; the ids are at most twice
+    Chosen are each label's rows with the smallest hash of doc_id; stands: the
+    label's training rows for each one chosen.  The ids are at most twice
     ``sample``, so they are broadcast to the documents.
     """
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)").where(crc_mod(F.col("doc_id"), 5) != 0)
@@ -163,10 +165,17 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits the model on a bounded sample; only its sparse counts reach the driver."""
-    rows = _featured(labelled(docs, labels, sample), "doc_id long, quality int, stands double").orderBy("doc_id").collect()
-    y = np.array([r.quality for r in rows], np.float64)
-    return fit([(np.array(r.ids), np.array(r.times)) for r in rows], y, np.array([r.stands for r in rows], np.float64))
+    """Fits the model on a bounded sample, in one task; only the model reaches the driver."""
+    featured = _featured(labelled(docs, labels, sample), "doc_id long, quality int, stands double")
+
+    def fitted(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("doc_id")
+        rows = list(zip(frame["ids"], frame["times"], strict=True))
+        model = fit(rows, frame["quality"].to_numpy(np.float64), frame["stands"].to_numpy(np.float64))
+        return pd.DataFrame({"model": [pickle.dumps(model)]})
+
+    held = featured.groupBy(F.lit(0).alias("all")).applyInPandas(fitted, "model binary").first()
+    return pickle.loads(held.model) if held else fit([], np.zeros(0), np.zeros(0))
 
 
 def score(texts: DataFrame, model: Model) -> DataFrame:
@@ -187,6 +196,13 @@ def score(texts: DataFrame, model: Model) -> DataFrame:
     return texts.withColumn("quality_score", scores("text"))
 
 
+def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, that score ``threshold`` or more."""
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
+    scored = score(docs.select(own).select("own", F.col("own.text").alias("text")), model)
+    return scored.where(F.col("quality_score") >= threshold).select(*[F.col(f"own.`{c}`").alias(c) for c in docs.columns])
+
+
 def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of ``docs``.
 

@@ -88,18 +88,15 @@ b AS (
   WHERE n >= 3 AND n > 0.1::DOUBLE * total GROUP BY host
 ),
 f AS (
-  SELECT p.*, list_filter(lines, lambda l: trim(l, E' \t\n\x0b\x0c\r') = '' OR NOT list_contains(coalesce(bad, []), trim(l, E' \t\n\x0b\x0c\r'))) AS few
+  SELECT p.*, list_filter(lines, lambda l: trim(l, E' \t\n\x0b\x0c\r') = '' OR NOT list_contains(coalesce(bad, []), trim(l, E' \t\n\x0b\x0c\r'))) AS kept
   FROM p LEFT JOIN b USING (host)
-),
-g AS (
-  SELECT *, CASE WHEN len(list_filter(few, lambda l: trim(l, E' \t\n\x0b\x0c\r') <> '')) > 0 THEN few ELSE lines END AS kept FROM f
 )
 SELECT doc_id, source,
        CASE WHEN len(kept) < len(lines) THEN array_to_string(kept, chr(10)) ELSE text END AS text,
        CASE WHEN len(kept) < len(lines) THEN length(array_to_string(kept, chr(10))) ELSE n_chars END AS n_chars,
        coalesce(len(lines), 0)::INTEGER AS n_lines,
        coalesce(len(lines) - len(kept), 0)::INTEGER AS n_dropped
-FROM g
+FROM f
 """
 
 WARC_SQL = r"""

@@ -1,13 +1,16 @@
-"""Helpers shared by the text operators: words, bounded batches, checkpoints."""
+"""Helpers shared by the text operators: words and bounded batches."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from keyloom.plans.storage import forget, remove, shared_folder, stable
+
+__all__ = ["ascii_words", "by_size", "crc_mod", "forget", "remove", "shared_folder", "squeezed", "stable"]
+
 #: Lower-cases A-Z and leaves every other byte of UTF-8 as it is.
 ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -34,26 +37,6 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, a laptop) a temporary one is set.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", "") or sc.getCheckpointDir() or ""
-    if not named:
-        named = tempfile.mkdtemp(prefix="checkpoints-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named
-
-
-def stable(df: DataFrame) -> DataFrame:
-    """The frame computed once and kept in the shared folder, lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def by_size(items: Iterator, weight, most: int) -> Iterator[list]:
     """Lists of consecutive items whose weights sum to about ``most``."""
     held, total = [], 0

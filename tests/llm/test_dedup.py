@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from keyloom.llm import components, queries, simhash_dedup
 from keyloom.llm.compact_windows import agreed, compact_windows, passages, repeated_passages
 from keyloom.llm.exact_dedup import exact_dedup
-from keyloom.llm.fingerprint import majority_bits, resemblance, shingle_hashes, sketch
+from keyloom.llm.fingerprint import majority_bits, resemblance, shingle_hashes
 from keyloom.llm.line_dedup import line_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -182,18 +182,40 @@ def jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
-def test_sketches_tell_similarity():
+def test_resemblance_is_the_similarity():
     r = random.Random(8)
-    errors = []
-    for n in (20, 120, 600, 3000):
+    for n in (0, 3, 20, 600):
         a = words(r, n)
-        b = [w if r.random() > 0.02 else "zz" for w in a]
-        x, y = shingle_hashes(" ".join(a), 5), shingle_hashes(" ".join(b), 5)
-        got = resemblance(np.frombuffer(sketch(x), np.uint16)[None], np.frombuffer(sketch(y), np.uint16)[None])[0]
-        errors.append(abs(got - jaccard(x, y)))
-    assert max(errors) < 0.06
-    none = np.frombuffer(sketch(shingle_hashes("", 5)), np.uint16)[None]
-    assert resemblance(none, none)[0] == 1.0
+        b = [w if r.random() > 0.05 else "zz" for w in a]
+        x, y = (np.unique(shingle_hashes(" ".join(t), 5)) for t in (a, b))
+        assert resemblance(x, y) == pytest.approx(jaccard(x, y) if n else 1.0)
+    assert resemblance(np.empty(0, np.uint64), x) == 0.0
+
+
+def test_pivots_discard_most_pairs_and_no_link():
+    r = np.random.default_rng(5)
+    fps = r.integers(0, 2**64, 3000, np.uint64)
+    fps[1500:] = fps[:1500] ^ (np.uint64(1) << r.integers(0, 64, 1500).astype(np.uint64))
+    table = sum(np.bitwise_count(fps ^ p).astype(np.int64) << (8 * k) for k, p in enumerate(simhash_dedup.pivots()))
+    place = simhash_dedup.Place(fps.view(np.int64), table, 4)
+    u, v = place.links(np.zeros(len(fps), np.int64))
+    left, right = components.stars(u, v)
+    assert set(zip(left.tolist(), right.tolist(), strict=True)) == {(i + 1500, i) for i in range(1500)}
+    assert place.verified < 0.06 * place.compared
+
+
+def test_a_large_group_of_copies_takes_few_comparisons():
+    """100,000 fingerprints around one: neither all pairs nor memory for them."""
+    r = np.random.default_rng(6)
+    fps = np.full(100_000, 0x123456789ABCDEF0, np.uint64)
+    for _ in range(5):
+        fps ^= np.uint64(1) << r.integers(0, 64, len(fps)).astype(np.uint64)
+    fps = np.unique(fps)
+    table = sum(np.bitwise_count(fps ^ p).astype(np.int64) << (8 * k) for k, p in enumerate(simhash_dedup.pivots()))
+    place = simhash_dedup.Place(fps.view(np.int64), table, 4)
+    u, v = place.links(np.zeros(len(fps), np.int64))
+    assert len(u) <= len(fps) - 1 and len(u) > 0.9 * len(fps)
+    assert place.compared < 0.05 * len(fps) ** 2
 
 
 def test_one_of_each(spark):
@@ -203,11 +225,60 @@ def test_one_of_each(spark):
     near[150] = "changed"
     far = [w if i % 12 else "other" for i, w in enumerate(base)]
     texts = [base, near, far, words(r, 300)]
-    rows = [(i + 1, " ".join(t)) for i, t in enumerate(texts)] + [(2, " ".join(near)), (None, " ".join(base)), (6, None), (7, "")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit(1))
-    got = simhash_dedup.one_of_each(df, size=1, radius=7, distinct=True, similarity=0.8)
+    rows = [(i + 1, " ".join(t)) for i, t in enumerate(texts)] + [(2, " ".join(near)), (None, " ".join(base)), (6, None), (7, ""), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("component_id", "a", "own", "fp", "node", "kid", "place", "first", "times"):
+        df = df.withColumn(name, F.lit(1))
+    got = simhash_dedup.one_of_each(df)
     assert got.columns == df.columns
-    assert sorted((x.doc_id or 0) for x in got.collect()) == [0, 1, 3, 4, 6]
+    assert sorted((x.doc_id or 0, x.text or "") for x in got.collect()) == sorted([(1, " ".join(base)), (3, " ".join(far)), (4, rows[3][1]), (6, "")])
+    assert simhash_dedup.one_of_each(df.limit(0)).isEmpty()
+
+
+def test_one_of_each_tells_rows_of_one_id_apart(spark):
+    r = random.Random(9)
+    a, b = " ".join(words(r, 60)), " ".join(words(r, 60))
+    df = spark.createDataFrame([(1, a), (5, a), (5, b), (None, b), (None, a + " x")], "doc_id long, text string")
+    assert sorted(tuple(x) for x in simhash_dedup.one_of_each(df).collect()) == sorted([(1, a), (5, b)])
+
+
+@pytest.mark.parametrize("chunk", [None, 3])
+def test_near_copies_by_brute_force(spark, sf_dir, monkeypatch, chunk):
+    """Groups are the components of pairs near in both the fingerprint and the shingles."""
+    if chunk:
+        monkeypatch.setattr(simhash_dedup, "CHUNK", chunk)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    r = random.Random(3)
+    texts = [x.text for x in docs]
+    for t in texts[:40]:
+        for share in (0.005, 0.01, 0.02, 0.03):
+            texts.append(" ".join(w if r.random() > share else "edited" for w in t.split()))
+    prints = majority_bits([np.unique(shingle_hashes(t, 1)) for t in texts])
+    sets = [shingle_hashes(t, 5) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 7
+    alike = missed = 0
+    for i, j in combinations(range(len(texts)), 2):
+        if abs(len(sets[i]) - len(sets[j])) > 0.3 * max(len(sets[i]), len(sets[j])) or not near[i, j] and not np.intersect1d(sets[i][:200], sets[j][:200]).size:
+            continue
+        if not len(sets[i]) or jaccard(sets[i], sets[j]) >= 0.8:
+            alike += 1
+            missed += not near[i, j]
+            if near[i, j]:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert alike > 100 and missed <= 0.1 * alike
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {x.doc_id: x.component_id for x in simhash_dedup.simhash_dedup(df, 1, 7, True, 0.8).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+    kept = sorted(x.doc_id for x in simhash_dedup.one_of_each(df).collect())
+    assert kept == sorted({find(i) for i in range(len(texts))})
 
 
 def test_lines_odd_rows(spark):
@@ -216,7 +287,9 @@ def test_lines_odd_rows(spark):
     got = {(r.doc_id): r for r in line_dedup(df).collect()}
     assert line_dedup(df).count() == len(rows)
     assert got[3].text == "body 3\n" and got[3].n_dropped == 2 and got[3].n_chars == 7
-    assert got[50].text == "Head\nfoot" and got[50].n_dropped == 0
+    assert got[50].text == "" and got[50].n_dropped == 2 and got[50].n_chars == 0
+    whole = {r.doc_id: r for r in line_dedup(df, keep_whole=True).collect()}
+    assert whole[50].text == "Head\nfoot" and whole[50].n_dropped == 0 and whole[3] == got[3]
     assert got[51].text is None and got[51].n_lines == 0
     assert got[52].text == "" and got[53].text == "Head\nx"
     assert line_dedup(df.limit(0)).isEmpty()
