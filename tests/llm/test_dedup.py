@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from keyloom.llm import components, queries, simhash_dedup
 from keyloom.llm.compact_windows import agreed, compact_windows, passages, repeated_passages
-from keyloom.llm.exact_dedup import exact_dedup
+from keyloom.llm.exact_dedup import DIGEST, exact_dedup, merge_round, rounds_for
 from keyloom.llm.fingerprint import majority_bits, resemblance, shingle_hashes
 from keyloom.llm.line_dedup import line_dedup
 
@@ -65,6 +65,21 @@ def test_exact_many_runs(spark):
     assert all(r.kept == 1 and r.n in (176, 177) for r in got)
 
 
+def test_exact_more_runs_than_two_rounds_merge(spark):
+    """Over 4,096 runs: a fourth round, and no merge of more than FAN_IN rows of a digest."""
+    runs = 5000
+    rows = spark.range(2 * runs).select(*[F.lit(x).alias(c) for c, x in zip(DIGEST, (b"s", 1, 2), strict=True)], (F.col("id") % runs).cast("int").alias("run"), F.struct(F.lit(False).alias("no_id"), F.col("id").alias("doc_id"), F.col("id").alias("row")).alias("first"), F.lit(1).cast("long").alias("n"))
+    assert [rounds_for(n) for n in (1, 16, 17, 256, 4096, 4097, runs)] == [1, 1, 2, 2, 3, 4, 4]
+    for k in range(rounds_for(runs)):
+        merged = merge_round(rows)
+        assert "SortAggregate" in merged._jdf.queryExecution().executedPlan().toString()
+        left = merged.count()
+        assert left == -(-runs // 16 ** (k + 1))
+        rows = spark.createDataFrame(merged.collect(), merged.schema)
+    (one,) = rows.collect()
+    assert (one.n, one['first'].doc_id, one.run) == (2 * runs, 0, 0)
+
+
 def slow_fingerprint(text, size):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", low) if w]
