@@ -34,6 +34,8 @@ CHUNK = 4096
 ARCHIVE = 8 * 1024 * 1024
 #: Payloads of fewer bytes are never written as revisits.
 LEAST_REVISIT = 0
+#: Pages of one payload are dealt to this many keys when they meet its first page.
+SALTS = 32
 LEVEL = 1
 END = b"\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -187,7 +189,8 @@ def write_archives(pages: DataFrame, folder: str, segment: int = SEGMENT, least_
     key = ["sha", "check", "size"]
     first = rows.where(F.col("size") >= least_revisit).groupBy(*key).agg(F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1")
     revisit = F.col("first").isNotNull() & (F.col("row") != F.col("first.row"))
-    planned = rows.join(first, key, "left").select("page_id", "url", "row", "sha", F.when(revisit, F.lit(None)).otherwise(payload).alias("payload"), F.when(revisit, F.col("first.page_id")).alias("to_page"), F.when(revisit, F.col("first.row")).alias("to_row"))
+    salted = first.drop("n").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    planned = rows.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted, [*key, "salt"], "left").select("page_id", "url", "row", "sha", F.when(revisit, F.lit(None)).otherwise(payload).alias("payload"), F.when(revisit, F.col("first.page_id")).alias("to_page"), F.when(revisit, F.col("first.row")).alias("to_row"))
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = _filesystem(folder)
@@ -270,7 +273,8 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
     response that it refers to; one whose response is missing, or has another
     digest, raises too.
     """
-    found = stable(archives.select("path").repartition("path").mapInPandas(lambda frames: _read(folder, frames), SEGMENTS))
+    # Paths are tiny rows: without a number their partitions would be joined into one.
+    found = stable(archives.select("path").repartition(max(1, archives.count())).mapInPandas(lambda frames: _read(folder, frames), SEGMENTS))
 
     @F.pandas_udf("payload_bytes long, payload_digest string")
     def decode(parts: pd.Series) -> pd.DataFrame:
