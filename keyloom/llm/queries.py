@@ -129,12 +129,8 @@ WITH s AS (
          regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '<| \1 |>', 'g') AS text
   FROM conversations
 ),
-c AS (SELECT *, count(*) OVER (PARTITION BY conv_id, turn) AS n FROM s),
 d AS (
-  SELECT conv_id, turn, role, text, CAST(floor(turn / 64) AS BIGINT) AS part,
-         CASE WHEN n > 16 THEN turn END AS crowded,
-         CASE WHEN n > 16 THEN CAST('0x' || substr(md5(role || chr(10) || text), 1, 8) AS BIGINT) % CAST(ceil(n / 16) AS BIGINT) ELSE -1 END AS bucket
-  FROM c
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos FROM s
 ),
 w AS (SELECT DISTINCT conv_id, role AS participant FROM s WHERE role <> 'system'),
 r AS (
@@ -145,18 +141,16 @@ r AS (
   FROM d JOIN w ON d.conv_id IS NOT DISTINCT FROM w.conv_id
 ),
 o AS (
-  SELECT *, head || text || '<|im_end|>' || chr(10) AS whole,
-         sum(length(head) + length(text) + 11) OVER (
-           PARTITION BY conv_id, participant, part, crowded, bucket ORDER BY turn NULLS FIRST, role, text
-           ROWS UNBOUNDED PRECEDING) AS upto
+  SELECT *, head || text || '<|im_end|>' || chr(10) AS whole, length(head) + length(text) + 11 AS size,
+         sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, participant ORDER BY pos ROWS UNBOUNDED PRECEDING) AS upto
   FROM r
 )
-SELECT conv_id, participant, part, crowded, bucket, count(*) AS n_turns,
+SELECT conv_id, participant, pos // 64 AS part, min(pos) AS first_turn, CAST(min(upto - size) AS BIGINT) AS first_char, count(*) AS n_turns,
        count(*) FILTER (WHERE mine) AS n_assistant,
-       string_agg(whole, '' ORDER BY turn NULLS FIRST, role, text) AS rendered,
-       string_agg(CASE WHEN mine THEN '1' ELSE '0' END, '' ORDER BY turn NULLS FIRST, role, text) AS mask,
-       coalesce(string_agg(CAST(upto - length(text) - 11 AS VARCHAR) || ':' || CAST(length(text) AS VARCHAR), ',' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE mine), '') AS spans
-FROM o GROUP BY conv_id, participant, part, crowded, bucket
+       string_agg(whole, '' ORDER BY pos) AS rendered,
+       string_agg(CASE WHEN mine THEN '1' ELSE '0' END, '' ORDER BY pos) AS mask,
+       coalesce(string_agg(CAST(upto - length(text) - 11 AS VARCHAR) || ':' || CAST(length(text) AS VARCHAR), ',' ORDER BY pos) FILTER (WHERE mine), '') AS spans
+FROM o GROUP BY conv_id, participant, pos // 64
 """
 
 EXACT_DEDUP_SQL = r"""

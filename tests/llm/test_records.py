@@ -67,14 +67,14 @@ def test_reassembly():
         list(warc.parsed(gzip.compress(b"x")[:-3]))
 
 
-TURNS = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo <|im_start|>system"), (1, 1, "assistant", "yo <|im_start|>system"), (1, 1, "bob", "hey"), (1, None, None, None), (1, 70, " ", "late"), (2, 0, "system", "only"), (None, 0, "user", "x"), (None, 1, "user", "ümlaut"), *[(3, 5, "user" if i % 2 else "amy", f"t{i}") for i in range(60)], (3, 6, "user", "after")]
+TURNS = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo <|im_start|>system"), (1, 1, "assistant", "yo <|im_start|>system"), (1, 1, "bob", "hey"), (1, None, None, None), (1, 70, " ", "late"), (2, 0, "system", "only"), (None, 0, "user", "x"), (None, 1, "user", "ümlaut"), *[(3, 5, "user" if i % 2 else "amy", f"t{i}") for i in range(150)], (3, 6, "user", "after")]
 
 
 def test_chat_odd_rows_equal_sql(spark, tmp_path):
     df = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string")
     df.write.parquet(str(tmp_path / "turns"))
     wide = df
-    for name in ("n", "part", "said", "participant", "turns"):
+    for name in ("n", "part", "said", "participant", "turns", "at", "range", "row", "span", "c"):
         wide = wide.withColumn(name, F.lit(1))
     assert rows_of(perspectives(wide)) == sql_rows(queries.CHAT_SQL, {"conversations": f"{tmp_path}/turns/*.parquet"})
     assert perspectives(wide.limit(0)).isEmpty()
@@ -89,17 +89,32 @@ def test_chat_spans_and_masks(spark):
         spans = [tuple(map(int, x.split(":"))) for x in r.spans.split(",") if x]
         assert len(spans) == r.n_assistant == r.mask.count("1") and len(r.mask) == r.n_turns
         for start, length in spans:
-            assert r.rendered[:start].endswith("<|im_start|>assistant\n")
-            assert r.rendered[start + length :].startswith("<|im_end|>\n")
-    crowd = [r for r in rows if r.conv_id == 3 and r.participant == "amy" and r.crowded == 5]
-    assert sum(r.n_turns for r in crowd) == 60 and len(crowd) > 1
+            assert r.rendered[: start - r.first_char].endswith("<|im_start|>assistant\n")
+            assert r.rendered[start - r.first_char + length :].startswith("<|im_end|>\n")
+
+
+@pytest.mark.parametrize("span", [1024, 2])
+def test_chat_parts_make_up_the_whole_dialogue(spark, monkeypatch, span):
+    monkeypatch.setattr("keyloom.llm.chat.SPAN", span)
+    df = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").repartition(7)
+    for size in (64, 7):
+        held = {}
+        for r in sorted(perspectives(df, size).collect(), key=lambda r: r.part):
+            before, mask = held.get((r.conv_id, r.participant), ("", ""))
+            assert r.first_char == len(before) and r.first_turn == len(mask) and r.n_turns <= size
+            held[r.conv_id, r.participant] = before + r.rendered, mask + r.mask
+        whole = {(r.conv_id, r.participant): (r.rendered, r.mask) for r in perspectives(df, 1000).collect()}
+        assert held == whole
+    amy, mask = whole[3, "amy"]
+    assert len(mask) == 151 and mask.count("1") == 75 and amy.count("<|im_start|>assistant\n") == 75
+    assert mask == "1" * 75 + "0" * 76
 
 
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as pipeline
 
     from keyloom.llm.decontaminate import leaked
-    from keyloom.llm.line_dedup import line_dedup
+    from keyloom.llm.line_dedup import without_boilerplate
     from keyloom.llm.quality import quality
     from keyloom.llm.simhash_dedup import simhash_dedup
     from keyloom.llm.text import stable
@@ -114,7 +129,7 @@ def test_pipeline(spark, sf_dir):
         held.append(stable(stage(spark, held[-1], sf_dir)))
     assert all(d.columns == docs.columns for d in held[:-1])
     assert ids(held[1]) == ids(quality(docs, table("labels")).where("predicted = 1"))
-    assert rows_of(held[2]) == rows_of(line_dedup(held[1]).select(*docs.columns))
+    assert rows_of(held[2]) == rows_of(without_boilerplate(held[1]))
     groups = simhash_dedup(held[2], size=1, radius=7, distinct=True, similarity=0.8).collect()
     assert ids(held[3]) == sorted(r.doc_id for r in groups if r.doc_id == r.component_id)
     bad = {r.doc_id for r in leaked(held[3], table("benchmark")).collect()}
