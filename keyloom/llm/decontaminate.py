@@ -17,7 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, reduce
 from itertools import chain
 
 import numpy as np
@@ -238,17 +238,24 @@ class Benchmark:
         order = np.argsort(at, kind="stable")
         place, at = place[order], at[order]
         best: tuple[float, int] | None = None
-        # A stretch begins wherever the windows before end over an item's length away.
         shift = at - place
-        for base in np.unique(shift).tolist():
-            near = np.abs(shift - base) <= max(2, length // 5)
+        reach = max(2, length // 5)
+        # Only stretches with enough windows can hold the share.
+        line = np.sort(shift)
+        bases = np.unique(shift)
+        held = np.searchsorted(line, bases + reach, side="right") - np.searchsorted(line, bases - reach)
+        for base in bases[held >= least * self.totals[i]].tolist():
+            near = np.abs(shift - base) <= reach
+            share = len(np.unique(place[near])) / self.totals[i]
+            if share < least or best is not None and share < best[0]:
+                continue
             slots = self._consistent(i, doc, place[near], at[near], size, least)
             if slots is None:
                 near = shift == base
-                slots = self._consistent(i, doc, place[near], at[near], size, least)
+                share = len(np.unique(place[near])) / self.totals[i]
+                slots = self._consistent(i, doc, place[near], at[near], size, least) if share >= least else None
             if slots is None:
                 continue
-            share = len(np.unique(place[near])) / self.totals[i]
             if best is None or (share, -slots) > (best[0], -best[1]):
                 best = (share, slots)
                 if share == 1.0 and not slots:
@@ -261,21 +268,26 @@ class Benchmark:
         step = np.arange(size)
         where, there = (place[:, None] + step), (at[:, None] + step)
         same = mine.low[where] == doc.low[there]
-        found = set(zip(where.ravel().tolist(), there.ravel().tolist(), strict=True))
-        spots = [(w, a, b) for w, t in found if mine.slot[w] | mine.either[w] for a, b in [(int(mine.low[w]), int(doc.low[t]))]]
-        slots = len({(a, b) for _, a, b in spots if a != b})
+        met = np.unique(where.ravel() * len(doc.low) + there.ravel())
+        w, t = met // len(doc.low), met % len(doc.low)
+        spot = mine.slot[w] | mine.either[w]
+        w, t = w[spot], t[spot]
+        a, b = mine.low[w], doc.low[t]
+        apart = a != b
+        slots = len(set(zip(a[apart].tolist(), b[apart].tolist(), strict=True)))
         if len(np.unique(where[~same])) <= 1 or len(np.unique(place[same.all(1)])) >= share * self.totals[i]:
             return slots
         # A word that opens a sentence counts as a name if it is one elsewhere or differs.
-        names = set(mine.low[mine.name].tolist()) | {a for w, a, b in spots if mine.either[w] and a != b}
-        pairs = Counter((a, b) for w, a, b in spots if a in names and (mine.name[w] or mine.either[w]))
+        names = np.union1d(mine.low[mine.name], a[mine.either[w] & apart])
+        named = (mine.name[w] | mine.either[w]) & np.isin(a, names)
+        pairs = Counter(zip(a[named].tolist(), b[named].tolist(), strict=True))
         left: set[int] = set()
         right: set[int] = set()
         agree = 0
-        for (a, b), n in sorted(pairs.items(), key=lambda x: (-x[1], x[0][0] != x[0][1], x[0])):
-            if a not in left and b not in right:
-                left.add(a)
-                right.add(b)
+        for (x, y), n in sorted(pairs.items(), key=lambda p: (-p[1], p[0][0] != p[0][1], p[0])):
+            if x not in left and y not in right:
+                left.add(x)
+                right.add(y)
                 agree += n
         return slots if agree >= share * pairs.total() else None
 
@@ -294,35 +306,47 @@ def _blocks(benchmark: DataFrame, most: int) -> list[list[tuple[int, str]]]:
     return blocks
 
 
+FOUND = "doc_id long, a long, b long, item_ids array<long>, best_share double, changed_slots long"
+
+
 def leaked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """doc_id, item_ids, best_share and changed_slots of the rows of ``docs`` with leaks.
 
     Needs doc_id and text of ``docs`` and item_id and text of ``benchmark``; other
     columns are ignored, whatever their names.  An item leaks into a document that
     contains at least ``share`` of its template windows of ``window`` words, and at
-    least that share of the names in them map one to one or the words are the item's; an item of fewer words is one window.  Null
-    and empty texts neither leak nor are leaked; null ids are kept as null.
-    best_share and changed_slots are of the best item; repeated rows each get a
-    row.  A benchmark of many words gives a row for each of its blocks.
+    least that share of the names in them map one to one or the words are the
+    item's; an item of fewer words is one window.  Null and empty texts neither
+    leak nor are leaked; null ids are kept as null.  item_ids are in order;
+    best_share and changed_slots are of the best item.  Each row with a leak gives
+    one row, repeated rows too, however many blocks the benchmark is taken in.
     """
     spark = docs.sparkSession
-    out = None
-    for items in _blocks(benchmark, block_windows):
+    blocks = _blocks(benchmark, block_windows)
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+    parts = []
+    for number, items in enumerate(blocks):
         shared = spark.sparkContext.broadcast(items)
 
         def search(frames, shared=shared):
             bench, memory = Benchmark(shared.value, window), Words()
             for frame in frames:
                 rows = []
-                for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
+                for doc_id, text, a, b in zip(frame["doc_id"], frame["text"], frame["a"], frame["b"], strict=True):
                     if found := bench.leaks(text, memory, share):
                         best = max(found, key=lambda x: (x[1], -x[2]))
-                        rows.append((doc_id, [x[0] for x in found], best[1], best[2]))
-                yield pd.DataFrame(rows, columns=["doc_id", "item_ids", "best_share", "changed_slots"])
-
-        part = docs.select("doc_id", "text").mapInPandas(search, "doc_id long, item_ids array<long>, best_share double, changed_slots long")
-        out = part if out is None else out.unionAll(part)
-    return out
+                        rows.append((doc_id, a, b, [x[0] for x in found], best[1], best[2]))
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
+
+        parts.append(keyed.mapInPandas(search, FOUND).withColumn("block", F.lit(number)))
+    names = ["doc_id", "item_ids", "best_share", "changed_slots"]
+    if len(parts) == 1:
+        return parts[0].select(*names)
+    # Rows of one id and text have the same leaks; there are as many in each block that has any.
+    every = reduce(DataFrame.unionAll, parts)
+    by_block = every.groupBy("doc_id", "a", "b", "block").agg(F.count("*").alias("n"), F.first("item_ids").alias("item_ids"), F.max(F.struct("best_share", (-F.col("changed_slots")).alias("kept"))).alias("best"))
+    by_row = by_block.groupBy("doc_id", "a", "b").agg(F.max("n").alias("n"), F.sort_array(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.max("best").alias("best"))
+    return by_row.select("doc_id", "item_ids", F.col("best.best_share").alias("best_share"), (-F.col("best.kept")).alias("changed_slots"), F.explode(F.sequence(F.lit(1), F.col("n")))).select(*names)
 
 
 def _clean(items: Broadcast, window: int, share: float):

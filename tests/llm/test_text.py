@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from conftest import rows_of
 from pyspark.sql import functions as F
 
 from keyloom.llm import decontaminate, gated, lm_score, packing, quality, queries
@@ -321,14 +322,98 @@ def test_slots_may_coincide_or_differ_once(spark):
     assert [found[i].changed_slots for i in range(3)] == [1, 1, 2]
 
 
-def test_leaks_in_blocks_and_empty_tables(spark):
-    docs = spark.createDataFrame([(1, QUESTION), (None, QUESTION)], "doc_id long, text string")
-    bench = spark.createDataFrame([(i, QUESTION if i == 3 else f"filler words number one two {i} five six seven") for i in range(6)], "item_id long, text string")
-    got = decontaminate.leaked(docs, bench, block_windows=10).collect()
-    assert [r.item_ids for r in got] == [[3], [3]] and {r.doc_id for r in got} == {1, None}
+def test_leaks_in_blocks_and_empty_tables(spark, sf_dir):
+    docs = spark.createDataFrame([(1, QUESTION), (2, "Where did the old river bend before the mill was built there?"), (3, QUESTION + " Where did the old river bend before the mill was built there?"), (1, QUESTION)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, QUESTION), (2, "Where did the old river bend before the mill was built there?")], "item_id long, text string").withColumn("window", F.lit(1))
+    got = decontaminate.leaked(docs, bench, block_windows=10)
+    assert sorted((r.doc_id, r.item_ids) for r in got.collect()) == [(1, [1]), (1, [1]), (2, [2]), (3, [1, 2])]
+    assert rows_of(got) == rows_of(decontaminate.leaked(docs, bench))
     assert decontaminate.leaked(docs, bench.limit(0)).isEmpty()
     assert decontaminate.leaked(docs.limit(0), bench).isEmpty()
-    assert decontaminate.without_leaks(docs, bench.limit(0)).count() == 2
+    assert decontaminate.without_leaks(docs, bench.limit(0)).count() == 4
+    docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    assert rows_of(decontaminate.leaked(docs, bench, block_windows=200)) == rows_of(decontaminate.leaked(docs, bench))
+
+
+def slow_template(text):
+    """For each word: what it may stand for in a window, its plain form, and its kind."""
+    out, opens, after = [], True, False
+    for line in text.split("\n"):
+        opens = True
+        for word in line.split():
+            core = word.strip(decontaminate.EDGE)
+            low = core.lower()
+            number = bool(low in decontaminate.NUMBER_WORDS or decontaminate.NUMBER.fullmatch(core))
+            unit = low in decontaminate.UNITS
+            capital = not number and not unit and core[:1].isupper() and core[1:].islower()
+            kind = "#" if number else "u" if unit and after else "N" if capital and not opens else "either" if capital else ""
+            out.append(({low, "<N>"} if kind == "either" else {f"<{kind}>"} if kind else {low}, low, kind))
+            bare = word.rstrip(decontaminate.CLOSERS)
+            opens, after = core != word and bare.endswith(decontaminate.ENDERS), number
+    return out
+
+
+def slow_leak(item, doc, share):
+    """Whether a stretch of the document has enough of the item's windows and enough of its names fit."""
+    size, total = min(5, len(item)), max(1, len(item) - 4)
+    met = [(p, q) for p in range(len(item) - size + 1) for q in range(len(doc) - size + 1) if all(item[p + k][0] & doc[q + k][0] for k in range(size))]
+    reach = max(2, len(item) // 5)
+
+    def fits(pairs):
+        if len({p for p, _ in pairs}) < share * total:
+            return False
+        spots = {(p + k, q + k) for p, q in pairs for k in range(size)}
+        differ = {w for w, t in spots if item[w][1] != doc[t][1]}
+        literal = {p for p, q in pairs if all(item[p + k][1] == doc[q + k][1] for k in range(size))}
+        if len(differ) <= 1 or len(literal) >= share * total:
+            return True
+        named = {low for _, low, kind in item if kind == "N"} | {item[w][1] for w, t in spots if item[w][2] == "either" and item[w][1] != doc[t][1]}
+        votes = Counter((item[w][1], doc[t][1]) for w, t in spots if item[w][2] in ("N", "either") and item[w][1] in named)
+        # Names map one to one: the most frequent pairs first.
+        agree, left, right = 0, set(), set()
+        for (a, b), n in votes.most_common():
+            if a not in left and b not in right:
+                agree, left, right = agree + n, left | {a}, right | {b}
+        return agree >= share * votes.total()
+
+    return any(fits([m for m in met if abs(m[1] - m[0] - base) <= reach]) or fits([m for m in met if m[1] - m[0] == base]) for base in {q - p for p, q in met})
+
+
+def test_leaks_equal_a_plain_search():
+    """Questions with other numbers, names and words, in and out of order, against a search without hashes."""
+    r = random.Random(12)
+    names, plain = ["Anna", "Tom", "Eve", "Carl", "Rosa"], "has apples buys more then gives away to how many remain in the old basket of".split()
+
+    def question(n):
+        return [r.choice([r.choice(names), str(r.randrange(90)), *[r.choice(plain)] * 5, "km", "two"]) + r.choice(["", "", "", "", ".", ","]) for _ in range(n)]
+
+    items = [question(r.choice([6, 9, 14, 25])) for _ in range(25)]
+    agree = leaks_ = 0
+    for case in range(400):
+        item = r.choice(items)
+        doc = list(item)
+        swap = dict(zip(names, r.sample(names, 5), strict=True)) if r.random() < 0.5 else {}
+        for k, w in enumerate(doc):
+            core = w.rstrip(".,")
+            if core in names:
+                doc[k] = swap.get(core, core if r.random() < 0.8 else r.choice(names)) + w[len(core) :]
+            elif core.isdigit() and r.random() < 0.7:
+                doc[k] = str(r.randrange(90)) + w[len(core) :]
+            elif r.random() < 0.04:
+                doc[k] = r.choice(plain)
+        if r.random() < 0.2:
+            at = r.randrange(len(doc))
+            doc[at:at] = question(r.choice([1, 3]))
+        text = " ".join(question(r.randrange(8)) + doc + question(r.randrange(8)))
+        if r.random() < 0.3:
+            text = text.replace(" ", "\n", 1)
+        bench = decontaminate.Benchmark([(k, " ".join(q)) for k, q in enumerate(items)], 5)
+        got = {i for i, _, _ in bench.leaks(text, decontaminate.Words(), 0.8)}
+        wanted = {k for k, q in enumerate(items) if slow_leak(slow_template(" ".join(q)), slow_template(text), 0.8)}
+        agree += got == wanted
+        leaks_ += bool(wanted)
+    # Ties between names may be broken either way.
+    assert leaks_ > 120 and agree >= 396
 
 
 def test_leak_query_equals_brute_force(spark, sf_dir):
