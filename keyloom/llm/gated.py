@@ -16,11 +16,11 @@ HIDDEN = 24
 EMBED = 16
 #: Steps of a training window and streams trained side by side.
 STEPS = 16
-STREAMS = 48
+STREAMS = 128
 #: Documents read side by side when scoring, and rows of one output product.
 LANES = 256
 ROWS = 8192
-RATE = 0.008
+RATE = 0.012
 CLIP = 1.0
 NEVER = np.float32(-1e9)
 
@@ -40,7 +40,8 @@ class Tokens:
     """Documents one after the other: input, class, member (-1: none), unseen share.
 
     ``first`` marks the first token of each document; ``unseen`` is the share of
-    the last class (unseen words) in a token's target.
+    the last class (unseen words) in a token's target.  ``weight`` is 0 for tokens
+    that only fill up a window.
     """
 
     inputs: np.ndarray
@@ -48,6 +49,7 @@ class Tokens:
     members: np.ndarray
     unseen: np.ndarray
     first: np.ndarray
+    weight: np.ndarray | None = None
 
 
 Params = dict[str, np.ndarray]
@@ -145,20 +147,22 @@ def gradients(p: Params, window: Tokens, h: np.ndarray) -> tuple[Params, np.ndar
         h, z[t], r[t], cand[t], hidden[t] = step(p, read[t], h)
     rows = before.reshape(-1, HIDDEN)
     n = len(rows)
+    weight = np.ones(n, np.float32) if window.weight is None else window.weight.ravel()
+    total = max(float(weight.sum()), 1.0)
     at = np.arange(n)
     classes, members, unseen = window.classes.ravel(), window.members.ravel(), window.unseen.ravel()
     error = softmax(rows @ p["out"] + p["out_bias"])
-    loss = float(-np.log(error[at, classes] + 1e-20).mean())
+    loss = float(-(np.log(error[at, classes] + 1e-20) * weight).sum() / total)
     error[at, classes] -= 1 - unseen
     error[:, -1] -= unseen
-    error /= n
+    error *= (weight / np.float32(total))[:, None]
     g = {k: np.zeros_like(v) for k, v in p.items() if k not in ("out", "out_bias")}
     g["out"], g["out_bias"] = rows.T @ error, error.sum(0)
     back = error @ p["out"].T
     for c, own in by_class(classes, members):
         e = softmax(rows[own] @ p["member"][c] + p["member_bias"][c])
         e[np.arange(len(own)), members[own]] -= 1
-        e /= n
+        e /= np.float32(total)
         g["member"][c], g["member_bias"][c] = rows[own].T @ e, e.sum(0)
         back[own] += e @ p["member"][c].T
     back = back.reshape(before.shape)
@@ -195,18 +199,21 @@ class Trainer:
         self.loss = 0.0
 
     def learn(self, tokens: Tokens) -> int:
-        """One pass over joined documents; returns the number of tokens read."""
-        length = len(tokens.inputs) // STREAMS
-        if not length:
-            return 0
-        deal = lambda x: x[: length * STREAMS].reshape(STREAMS, length).T
-        dealt = Tokens(*(deal(getattr(tokens, k)) for k in ("inputs", "classes", "members", "unseen", "first")))
-        h = np.zeros((STREAMS, HIDDEN), np.float32)
+        """One pass over joined documents; returns the number of tokens read.
+
+        The last stream is filled up with tokens that weigh nothing.
+        """
+        n = len(tokens.inputs)
+        streams = max(1, min(STREAMS, n // STEPS))
+        length = -(-n // streams)
+        full = (tokens.inputs, tokens.classes, tokens.members, tokens.unseen, tokens.first, np.ones(n, np.float32))
+        fill = (0, 0, -1, 0, True, 0)
+        dealt = [np.concatenate([x, np.full(length * streams - n, f, x.dtype)]).reshape(streams, length).T for x, f in zip(full, fill, strict=True)]
+        h = np.zeros((streams, HIDDEN), np.float32)
         for t in range(0, length, STEPS):
-            window = Tokens(*(getattr(dealt, k)[t : t + STEPS] for k in ("inputs", "classes", "members", "unseen", "first")))
-            g, h, self.loss = gradients(self.p, window, h)
+            g, h, self.loss = gradients(self.p, Tokens(*(x[t : t + STEPS] for x in dealt)), h)
             self._update(g)
-        return length * STREAMS
+        return n
 
     def _update(self, g: Params) -> None:
         self.updates += 1

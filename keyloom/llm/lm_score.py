@@ -10,7 +10,8 @@ over the V known words and one unknown word.
 
 Each partition trains a copy of the model on its own share of the training
 documents; the copies are averaged, weighted by tokens, in a tree of bounded
-fan-in, and the next round begins with the average.
+fan-in, and the next round begins with the average.  So the model, though not the
+base, depends on how the rows are dealt to partitions.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from keyloom.llm import gated
 from keyloom.llm.gated import NEVER, Params, Shape, Tokens, Trainer
-from keyloom.llm.text import ascii_words, by_size, crc_mod, stable
+from keyloom.llm.text import ascii_words, by_size, crc_mod, one_thread, stable
 
 FOLDS = 5
 HELD_OUT = 1
@@ -40,8 +41,10 @@ MEMBERS = 64
 ENDINGS = 96
 #: The training documents are dealt to the rounds by hash; each is read in one.
 ROUNDS = 2
-#: Copies averaged in one task.
-FAN_IN = 64
+#: Copies averaged in one task, and levels of the tree: enough for any number of
+#: partitions that a job can have, so that one copy reaches the driver.
+FAN_IN = 256
+LEVELS = 4
 #: Different words a counting task holds, and tokens scored or trained at once.
 HELD_WORDS = 400_000
 BLOCK = 2_500_000
@@ -223,6 +226,7 @@ def train(texts: DataFrame, words: Lexicon, rounds: int = ROUNDS) -> Params:
         shared = spark.sparkContext.broadcast((words, gated.flat(params)))
 
         def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            one_thread()
             lexicon_, start = shared.value
             trainer = Trainer(gated.unflat(start, lexicon_.start()))
             texts = (t for frame in frames for t in frame["text"])
@@ -234,10 +238,11 @@ def train(texts: DataFrame, words: Lexicon, rounds: int = ROUNDS) -> Params:
 
         share = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == number).select("text")
         copies = share.mapInPandas(run, "part long, tokens double, params binary")
-        rows = _averaged(_averaged(copies, FAN_IN), FAN_IN).collect()
-        if rows:
-            total = sum(r.tokens for r in rows)
-            params = gated.unflat(sum(r.tokens / total * np.frombuffer(r.params, np.float32) for r in rows), params)
+        for _ in range(LEVELS):
+            copies = _averaged(copies, FAN_IN)
+        row = copies.first()
+        if row:
+            params = gated.unflat(np.frombuffer(row.params, np.float32), params)
         shared.unpersist()
     return params
 
@@ -252,6 +257,7 @@ def _scored(rows: DataFrame, words: Lexicon, params: Params) -> DataFrame:
     names = [c.split()[0] for c in SCORED.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one_thread()
         lexicon_, values = shared.value
         p = gated.unflat(values, lexicon_.start())
         log_count = np.log10(lexicon_.counts + 0.5)

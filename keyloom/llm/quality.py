@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.text import by_size, crc_mod, stable
+from keyloom.llm.text import by_size, crc_mod, one_thread, stable
 
 #: Labelled texts of each label that are learned from, at most (those of the
 #: smallest hash of their id); all labels serve if there are fewer.
@@ -187,6 +187,7 @@ def score(texts: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        one_thread()
         memory, use = Features(), shared.value
         for batch in batches:
             rows = (counts(t, memory) for t in batch)

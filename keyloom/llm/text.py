@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import cache
+from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from keyloom.plans.storage import forget, remove, shared_folder, stable
 
-__all__ = ["ascii_words", "by_size", "crc_mod", "forget", "remove", "shared_folder", "squeezed", "stable"]
+__all__ = ["ascii_words", "by_size", "crc_mod", "forget", "one_thread", "remove", "shared_folder", "squeezed", "stable"]
 
 #: Lower-cases A-Z and leaves every other byte of UTF-8 as it is.
 ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -37,6 +41,21 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+@cache
+def one_thread() -> None:
+    """Lets numpy's products run in the calling thread.
+
+    Products here are small: more threads only wait for each other, and a task
+    has its share of the cores already.  Where numpy brings another library,
+    nothing changes.
+    """
+    for path in (Path(np.__file__).parent.parent / "numpy.libs").glob("*openblas*"):
+        library = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 def by_size(items: Iterator, weight, most: int) -> Iterator[list]:
     """Lists of consecutive items whose weights sum to about ``most``."""
     held, total = [], 0
