@@ -136,14 +136,33 @@ class KeyedMap:
         """The entries that satisfy a predicate of (key, value)."""
         return self._pairs(pred)
 
-    def exists(self, queries: DataFrame, in_pred: Predicate | None = None, distinct: bool = False) -> DataFrame:
-        """Every query row with ``found``: 1 if its key is there, else 0."""
+    def exists(self, queries: DataFrame, in_pred: Predicate | None = None, distinct: bool = False, out_pred: Predicate | None = None, miss: int = 0) -> DataFrame:
+        """Every query row with ``found``: 1 if its key is there, else ``miss``.
+
+        Queries that fail ``in_pred`` are left out; an entry that fails
+        ``out_pred`` is a miss.
+        """
         asked = self._asked(queries, in_pred, distinct)
-        keys = self.frame.select("key", F.lit(1).alias("found"))
-        return asked.join(keys, "key", "left").withColumn("found", F.coalesce("found", F.lit(0)))
+        keys = self._pairs(out_pred).select("key", F.lit(1).alias("found"))
+        return asked.join(keys, "key", "left").withColumn("found", F.coalesce("found", F.lit(miss)))
 
     count = exists
 
+    def exists_where(self, pred: Predicate) -> DataFrame:
+        """Every held key with ``found``: 1 if its entry satisfies the predicate, else 0."""
+        return self.frame.select("key", F.coalesce(pred(F.struct("key", "value")), F.lit(False)).cast("int").alias("found"))
+
+    def query(self, queries: DataFrame, functor: Callable[[Column, Column, Column], Column], name: str = "result", in_pred: Predicate | None = None, out_pred: Predicate | None = None) -> DataFrame:
+        """Every query row with ``functor(key, value, hit)``; value is null where hit is false."""
+        hits = self._pairs(out_pred).withColumn("hit_", F.lit(True))
+        found = self._asked(queries, in_pred, False).join(hits, "key", "left")
+        return found.withColumn(name, functor(F.col("key"), F.col("value"), F.coalesce("hit_", F.lit(False)))).drop("value", "hit_")
+
+    def hits(self, queries: DataFrame, in_pred: Predicate | None = None, out_pred: Predicate | None = None) -> DataFrame:
+        """One row: asked, the queries that satisfy ``in_pred``, and hits, those that find an entry."""
+        found = self.exists(queries, in_pred, out_pred=out_pred)
+        return found.agg(F.count("*").alias("asked"), F.coalesce(F.sum("found"), F.lit(0)).alias("hits"))
+
     # --- change -------------------------------------------------------------
 
     def _changes(self, updates: DataFrame, order_by: Iterable[str | Column]) -> DataFrame:
@@ -189,9 +208,19 @@ class KeyedMap:
             return self.fold
         return held[self.reducer]
 
-    def erase(self, keys: DataFrame) -> KeyedMap:
-        """This map without the keys (column key)."""
-        return replace(self, frame=self.frame.join(keys.select("key"), "key", "left_anti"))
+    def _doomed(self, keys: DataFrame, in_pred: Predicate | None, out_pred: Predicate | None) -> DataFrame:
+        """The keys of entries that an erasure removes."""
+        asked = self._asked(keys.select("key"), in_pred, False)
+        return asked if out_pred is None else self._pairs(out_pred).select("key").join(asked, "key", "left_semi")
+
+    def erase(self, keys: DataFrame, in_pred: Predicate | None = None, out_pred: Predicate | None = None) -> KeyedMap:
+        """This map without the keys (column key) that satisfy ``in_pred`` and whose
+        entries (key, value) satisfy ``out_pred``."""
+        return replace(self, frame=self.frame.join(self._doomed(keys, in_pred, out_pred), "key", "left_anti"))
+
+    def erased(self, keys: DataFrame, in_pred: Predicate | None = None, out_pred: Predicate | None = None) -> DataFrame:
+        """One row, removed: how many entries ``erase`` with these arguments takes out."""
+        return self.frame.join(self._doomed(keys, in_pred, out_pred), "key", "left_semi").agg(F.count("*").alias("removed"))
 
     def erase_where(self, pred: Predicate) -> KeyedMap:
         """This map without the entries that satisfy a predicate of (key, value)."""
@@ -235,7 +264,18 @@ def _typed(rows: DataFrame, key: str | Column, value: str | Column | None, order
     return rows.select(column(key).alias("key"), amount.alias("value"), ord_.alias("ord")).where("key IS NOT NULL")
 
 
-def is_new(rows: DataFrame, held: KeyedMap) -> DataFrame:
-    """Rows (column key) with ``is_new``: whether an insertion would add the key."""
+def is_new(rows: DataFrame, held: KeyedMap, order_by: Iterable[str] = ()) -> DataFrame:
+    """Rows (column key) with ``is_new``: whether inserting them in order would add the key.
+
+    Only the first row of a key that isn't held is new: the least by ``order_by``
+    and then by all columns.  Rows that are equal in every column are one
+    insertion after another, of which one is new.
+    """
     known = held.keys().withColumn("known", F.lit(True))
-    return rows.join(known, "key", "left").withColumn("is_new", F.col("known").isNull()).drop("known")
+    columns = [*order_by, *[c for c in rows.columns if c not in order_by]]
+    place = F.struct(*columns)
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("times_"))
+    first = rows.groupBy("key").agg(F.min(place).alias("first_"))
+    met = counted.join(first, "key", "left").join(known, "key", "left")
+    fresh = F.col("known").isNull() & place.eqNullSafe(F.col("first_"))
+    return met.select(*rows.columns, fresh.alias("fresh_"), F.explode(F.sequence(F.lit(1), F.col("times_"))).alias("copy_")).select(*rows.columns, (F.col("fresh_") & (F.col("copy_") == 1)).alias("is_new"))

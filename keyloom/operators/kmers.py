@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,29 +18,34 @@ PIECE = 16_384
 def split_pieces(reads: DataFrame, spec: KeySpec, sequence: str = "seq") -> DataFrame:
     """Reads cut at every character outside the alphabet; pos is a piece's start.
 
-    Empty pieces are dropped; null sequences give none.
+    Empty pieces are dropped; null sequences give none.  The cuts of a sequence
+    take one pass over it.
     """
-    others = reads.drop(sequence, "pos")
-    # Positions survive the split as each outside character becomes one blank.
-    marked = F.regexp_replace(spec.alphabet.raised(F.col(sequence)), f"[^{spec.alphabet.symbols}]", " ")
-    words = F.split(marked, " ")
-    placed = reads.select(*others.columns, F.posexplode(words).alias("i", "piece"), words.alias("words"))
-    before = F.aggregate(F.slice("words", 1, F.col("i")), F.lit(0), lambda a, w: a + F.length(w) + 1)
-    return placed.where("piece <> ''").select(*others.columns, before.alias("pos"), F.col("piece").alias(sequence))
+    others = [c for c in reads.columns if c not in (sequence, "pos")]
+    run = re.compile(f"[{spec.alphabet.symbols}]+")
+
+    @F.pandas_udf("array<struct<pos: int, piece: string>>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([[(m.start(), m.group()) for m in run.finditer(t or "")] for t in texts], dtype=object)
+
+    pieces = reads.select(*others, F.explode(cut(spec.alphabet.raised(F.col(sequence)))).alias("p"))
+    return pieces.select(*others, F.col("p.pos").alias("pos"), F.col("p.piece").alias(sequence))
 
 
-def windows(reads: DataFrame, spec: KeySpec, sequence: str = "seq") -> DataFrame:
+def windows(reads: DataFrame, spec: KeySpec, sequence: str = "seq", split: bool = False) -> DataFrame:
     """Other columns of ``reads`` with pos (from 0) and kmer of every window.
 
     Slices are taken from bytes, at constant cost each, and the other strand is
     made once a piece, not once a window.  Sequences must be in the alphabet
-    (``Alphabet.clean`` or ``split_pieces``).  With mode canonical kmer is the
+    (``Alphabet.clean`` or ``split_pieces``), or any with ``split``, which leaves
+    out every window that spans another character.  With mode canonical kmer is the
     lesser strand; with bimolecule there is also canon, the key both strands share.
     """
     k, n = spec.k, F.length("seq_")
     offset = F.col("pos") if "pos" in reads.columns else F.lit(0)
     others = [c for c in reads.columns if c not in (sequence, "pos", "kmer", "canon")]
-    long = reads.select(*others, F.col(sequence).alias("seq_"), offset.alias("off_")).where(n >= k)
+    text = F.regexp_replace(spec.alphabet.raised(F.col(sequence)), f"[^{spec.alphabet.symbols}]", " ") if split else F.col(sequence)
+    long = reads.select(*others, text.alias("seq_"), offset.alias("off_")).where(n >= k)
     pieces = long.select(*others, "off_", "seq_", F.explode(F.sequence(F.lit(0), n - k, F.lit(PIECE))).alias("at_"))
     bytes_ = F.substring(F.col("seq_").cast("binary"), F.col("at_") + 1, F.lit(PIECE + k - 1))
     pieces = pieces.select(*others, (F.col("off_") + F.col("at_")).alias("off_"), bytes_.alias("piece_"))
@@ -47,6 +55,8 @@ def windows(reads: DataFrame, spec: KeySpec, sequence: str = "seq") -> DataFrame
     last = F.octet_length("piece_") - k
     cut = pieces.withColumn("i_", F.explode(F.sequence(F.lit(0), last)))
     read = _slice("piece_", F.col("i_"), k)
+    if split:
+        cut = cut.where(~F.contains(read, F.lit(" ")))
     pos = (F.col("off_") + F.col("i_")).cast("int").alias("pos")
     if spec.mode == SINGLE:
         return cut.select(*others, pos, read.alias("kmer"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.plans.storage import stable
@@ -34,9 +34,9 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows if rows.rdd.getNumPartitions() >= cores else rebalance(rows, cores)
 
 
-def bucket_sizes(rows: DataFrame, key: Column, buckets: int) -> DataFrame:
-    """bucket, size."""
-    return rows.groupBy(bucket(key, buckets).alias("bucket")).agg(F.count("*").alias("size"))
+def bucket_sizes(rows: DataFrame, key: Column, buckets: int, hashes: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """bucket, size: rows of each destination of a hash placement."""
+    return rows.groupBy(F.pmod(hashes(key), F.lit(buckets)).cast("int").alias("bucket")).agg(F.count("*").alias("size"))
 
 
 def scatter_compute_gather(rows: DataFrame, key: str, compute: Callable[[DataFrame], DataFrame], qid: str = "qid") -> DataFrame:
@@ -65,13 +65,16 @@ def global_rank(rows: DataFrame, order: list[str], rank: str = "rank", parts: in
     """
     position = F.monotonically_increasing_id()
     sorted_ = stable(range_sort(rows, order, parts).withColumn("part_", F.shiftright(position, 33)).withColumn("at_", position.bitwiseAND(F.lit((1 << 33) - 1))))
-    sizes = sorted_.groupBy("part_").agg(F.count("*").alias("n"))
-    before = F.aggregate(F.filter("all", lambda x: x["part_"] < F.col("part_")), F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    listed = sizes.agg(F.collect_list(F.struct("part_", "n")).alias("all"))
-    starts = sizes.select("part_").crossJoin(F.broadcast(listed)).select("part_", before.alias("before_"))
+    starts = _starts(sorted_.groupBy("part_").agg(F.count("*").alias("n"))).select("part_", "before_")
     return sorted_.join(F.broadcast(starts), "part_").withColumn(rank, F.col("before_") + F.col("at_") + 1).drop("part_", "at_", "before_")
 
 
+def _starts(sizes: DataFrame) -> DataFrame:
+    """part_, n with before_, the sum of n over the parts before, and total; a row a partition."""
+    earlier = Window.partitionBy(F.lit(0)).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select("part_", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before_"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("total"))
+
+
 def splitters(rows: DataFrame, key: str, parts: int) -> DataFrame:
     """split, value: the key that ends each of ``parts`` - 1 equal shares of the rows.
 
@@ -80,17 +83,17 @@ def splitters(rows: DataFrame, key: str, parts: int) -> DataFrame:
     """
     counts = rows.groupBy(F.col(key).alias("value")).agg(F.count("*").alias("n"))
     ranked = stable(range_sort(counts, ["value"]).withColumn("part_", F.spark_partition_id()))
-    sums = ranked.groupBy("part_").agg(F.sum("n").alias("n"))
-    listed = sums.agg(F.collect_list(F.struct("part_", "n")).alias("all"), F.sum("n").alias("total"))
-    before = F.aggregate(F.filter("all", lambda x: x["part_"] < F.col("part_")), F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    starts = sums.select("part_").crossJoin(F.broadcast(listed)).select("part_", before.alias("before_"), "total")
-    upto = ranked.join(F.broadcast(starts), "part_").selectExpr("value", "n", "before_", "total", "before_ + sum(n) OVER (PARTITION BY part_ ORDER BY value) AS upto_")
-    cut = upto.select("value", "upto_", (F.col("upto_") - F.col("n")).alias("from_"), "total", F.explode(F.sequence(F.lit(1), F.lit(parts - 1))).alias("split"))
-    wanted = F.ceil(F.col("total") * F.col("split") / F.lit(parts))
-    return cut.where((F.col("from_") < wanted) & (wanted <= F.col("upto_"))).select("split", "value")
+    starts = _starts(ranked.groupBy("part_").agg(F.sum("n").alias("n"))).drop("n")
+    upto = ranked.join(F.broadcast(starts), "part_").selectExpr("value", "n", "total", "before_ + sum(n) OVER (PARTITION BY part_ ORDER BY value) AS upto_")
+    # The shares that end within a key's rows: split s ends at row ceil(total * s / parts).
+    reached = lambda row: F.least(F.floor(row * parts / F.col("total")), F.lit(parts - 1))
+    first, last = reached(F.col("upto_") - F.col("n")) + 1, reached(F.col("upto_"))
+    return upto.where(first <= last).select(F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("split"), "value")
 
 
 def stable_split(rows: DataFrame, key: str, cuts: list[object]) -> DataFrame:
-    """``rows`` with ``part``: the number of splitters below the key."""
+    """``rows`` with ``part``: the number of splitters below the key; equal splitters raise."""
+    if any(not a < b for a, b in zip(cuts, cuts[1:], strict=False)):
+        raise ValueError("splitters must rise")
     part = sum((F.when(F.col(key) > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
     return rows.withColumn("part", part)

@@ -45,3 +45,11 @@ class Multimap:
 def aux_filter(rows: DataFrame, kept: Column) -> DataFrame:
     """Rows whose companion column satisfies a predicate."""
     return rows.where(kept)
+
+
+def aux_filter_by(rows: DataFrame, companions: DataFrame, kept: Column, on: str = "i") -> DataFrame:
+    """Rows whose companion, the row of the same place ``on`` in a second sequence, satisfies a predicate.
+
+    Rows without a companion are left out, as the shorter sequence ends the walk.
+    """
+    return rows.join(companions.where(kept).select(on), on, "left_semi")

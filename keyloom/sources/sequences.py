@@ -40,3 +40,19 @@ def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     records = numbered.where("line <> '' OR number % 4 IN (1, 3)").groupBy("file", F.floor(F.col("number") / 4).alias("record")).agg(field(0).alias("header"), field(1).alias("seq"), field(3).alias("qual"))
     kept = records.where("header IS NOT NULL AND seq IS NOT NULL")
     return kept.select(F.xxhash64("file", "record").alias("seq_id"), F.regexp_replace("header", "^@", "").alias("header"), "seq", "qual")
+
+
+#: Letters of a FASTA line.
+LINE = 60
+
+
+def write_fasta(reads: DataFrame, folder: str, header: str, sequence: str = "seq") -> None:
+    """Records of a header line and lines of ``LINE`` letters, a file a task."""
+    lines = F.regexp_replace(F.coalesce(sequence, F.lit("")), f"(.{{{LINE}}})(?=.)", "$1\n")
+    reads.select(F.concat(F.lit(">"), F.col(header).cast("string"), F.lit("\n"), lines).alias("value")).write.text(folder)
+
+
+def write_fastq(reads: DataFrame, folder: str, header: str, sequence: str = "seq", quality: str = "qual") -> None:
+    """Records of four lines, a file a task; the quality is as long as the sequence."""
+    parts = [F.lit("@"), F.col(header).cast("string"), F.lit("\n"), F.col(sequence), F.lit("\n+\n"), F.col(quality)]
+    reads.where(F.col(sequence).isNotNull()).select(F.concat(*parts).alias("value")).write.text(folder)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,14 +40,13 @@ def random_kmers(spark: SparkSession, count: int, k: int, repeats: int = 10, alp
     return rows.select(key.alias("kmer"), F.monotonically_increasing_id().alias("idx"))
 
 
-def query_mix(present: DataFrame, absent: DataFrame, missing: float) -> DataFrame:
+def query_mix(present: DataFrame, absent: DataFrame, missing: float, hashes: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """key: a share ``missing`` of absent keys and else present ones, by key hash."""
-    share = F.lit(1000)
     take = int(round(1000 * missing))
-    place = F.pmod(F.xxhash64("key"), share)
+    place = F.pmod(hashes(F.col("key")), F.lit(1000))
     return present.select("key").where(place >= take).unionAll(absent.select("key").where(place < take))
 
 
-def hash_sample(rows: DataFrame, key: str, ratio: int) -> DataFrame:
+def hash_sample(rows: DataFrame, key: str, ratio: int, hashes: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """Rows of one in ``ratio`` keys, the same keys each time."""
-    return rows.where(F.pmod(F.xxhash64(key), F.lit(ratio)) == 0)
+    return rows.where(F.pmod(hashes(F.col(key)), F.lit(ratio)) == 0)

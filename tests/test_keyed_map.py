@@ -117,6 +117,30 @@ def test_facts_and_batches(spark):
     assert {r.key: r.is_new for r in is_new(new, counted).collect()} == {5: False, 99_999: True}
 
 
+def test_new_keys_within_a_batch(spark):
+    held = KeyedMap.build(frame(spark, [(0, 1, 1)]), "k", "v", COUNT)
+    batch = spark.createDataFrame([(1, 5), (2, 3), (2, 1), (2, 1), (None, 1)], "key long, at long")
+    got = sorted(((r.key or 0), r.at, r.is_new) for r in is_new(batch, held, ["at"]).collect())
+    assert [x for x in got if x[0]] == [(1, 5, False), (2, 1, False), (2, 1, True), (2, 3, False)] and len(got) == 5
+
+
+def test_predicates_and_counts(spark):
+    held = KeyedMap.build(frame(spark, pairs()), "k", "v", COUNT)
+    entries = as_dict(held)
+    keys = sorted(entries)[:10]
+    asked = spark.createDataFrame([(k,) for k in [*keys, *keys, -1]], "key long")
+    even, big = (lambda k: k % 2 == 0), (lambda e: e["value"] > 100)
+    doomed = {k for k in keys if k % 2 == 0 and entries[k] > 100}
+    assert as_dict(held.erase(asked, even, big)) == {k: v for k, v in entries.items() if k not in doomed}
+    assert held.erased(asked, even, big).first()[0] == len(doomed)
+    assert held.erased(asked).first()[0] == len(keys)
+    assert held.hits(asked).first() == (21, 20)
+    assert {r.key: r.found for r in held.exists_where(big).collect()} == {k: int(v > 100) for k, v in entries.items()}
+    assert {r.key: r.found for r in held.exists(asked, out_pred=big, miss=9).collect()} == {**{k: 1 if entries[k] > 100 else 9 for k in keys}, -1: 9}
+    seen = held.query(asked, lambda k, v, hit: F.when(hit, v).otherwise(k))
+    assert {r.key: r.result for r in seen.collect()} == {**{k: entries[k] for k in keys}, -1: -1}
+
+
 def test_unknown_reducer(spark):
     with pytest.raises(ValueError):
         KeyedMap.build(frame(spark, []), "k", "v", "median")

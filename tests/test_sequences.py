@@ -8,7 +8,7 @@ from keyloom.functions.alphabets import DNA, DNA16
 from keyloom.operators import kmers
 from keyloom.operators.kmers import count_kmers, positions, split_pieces, windows
 from keyloom.plans.keyspec import BIMOLECULE, CANONICAL, KeySpec
-from keyloom.sources import binary, synthetic
+from keyloom.sources import binary, sequences, synthetic
 from keyloom.sources.sequences import read_fasta, read_fastq
 
 
@@ -93,6 +93,22 @@ def test_binary_round_trip(spark, tmp_path, headed):
     assert binary.checksum(back).first() == binary.checksum(df).first()
 
 
+@pytest.mark.parametrize("headed", [False, True])
+def test_packed_files_of_each_task(spark, tmp_path, headed):
+    """A file a task, read back in ranges much smaller than a file."""
+    df = spark.range(10_000).selectExpr("id * 11 AS key", "id AS value").repartition(3)
+    made = binary.write_pairs(df, str(tmp_path / "out"), headed=headed).collect()
+    files = sorted((tmp_path / "out").glob("*.bin"))
+    assert len(made) == len(files) == 3 and sum(r.records for r in made) == 10_000
+    assert sum(f.stat().st_size for f in files) == 80_000 + 48 * headed
+    back = binary.read_pairs(spark, str(tmp_path / "out"), headed=headed, range_bytes=1000)
+    assert back.rdd.getNumPartitions() > 3
+    assert binary.checksum(back).first() == binary.checksum(df).first()
+    none = binary.write_pairs(df.limit(0), str(tmp_path / "none"), headed=headed)
+    assert none.agg(F.sum("records")).first()[0] in (0, None)
+    assert binary.read_pairs(spark, str(tmp_path / "none"), headed=headed).isEmpty()
+
+
 def test_binary_header_is_checked(spark, tmp_path):
     (tmp_path / "x.bin").write_bytes(np.array([16, 1], "<u8").tobytes() + b"\0" * 8)
     with pytest.raises(Exception, match="8 bytes"):
@@ -101,12 +117,27 @@ def test_binary_header_is_checked(spark, tmp_path):
 
 def test_table_sinks(spark, tmp_path):
     df = spark.range(100).selectExpr("id AS key", "id % 3 AS part")
-    binary.write_table(df, str(tmp_path / "one"), single=True)
+    binary.write_table(df, str(tmp_path / "one"), files=1)
     assert len(list((tmp_path / "one").glob("*.parquet"))) == 1
     binary.write_table(df, str(tmp_path / "parts"), partition_by=["part"])
     assert spark.read.parquet(str(tmp_path / "parts")).where("part = 1").count() == 33
 
 
+def test_sequence_sinks(spark, tmp_path):
+    rows = [(1, "ACGT" * 40, "IIII" * 40), (2, "A", "#"), (3, "", "")]
+    df = spark.createDataFrame(rows, "id long, seq string, qual string")
+    sequences.write_fasta(df, str(tmp_path / "a"), "id")
+    sequences.write_fastq(df, str(tmp_path / "q"), "id")
+    assert sorted((int(r.header), r.seq) for r in sequences.read_fasta(spark, str(tmp_path / "a")).collect()) == [x[:2] for x in rows]
+    assert sorted((int(r.header), r.seq, r.qual) for r in sequences.read_fastq(spark, str(tmp_path / "q")).collect()) == rows
+
+
+def test_windows_of_any_text_equal_those_of_its_pieces(spark):
+    df = spark.createDataFrame([(1, "ACGTNNACGTACxacgtac"), (2, "NNN"), (3, None), (4, "ACG")], "seq_id long, seq string")
+    for spec in (KeySpec(3), KeySpec(3, mode="canonical"), KeySpec(4, mode="bimolecule")):
+        assert sorted(windows(df, spec, split=True).collect()) == sorted(windows(split_pieces(df, spec), spec).collect())
+
+
 def test_generated(spark):
     assert synthetic.unique_keys(spark, 5000).distinct().count() == 5000
     pairs = synthetic.repeated_pairs(spark, 1000, 8.0)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from keyloom.streaming.incremental import counts, file_stream, merge_batches, run_to_table, versioned_counts, windowed_counts
+from keyloom.streaming.incremental import counts, file_stream, merge_batches, run_to_folder, versioned_counts, windowed_counts
 
 
 def _files(spark, folder, n=4):
@@ -13,10 +13,16 @@ def _files(spark, folder, n=4):
 
 def test_counts_equal_batch(spark, tmp_path):
     rows = _files(spark, str(tmp_path / "in"))
-    run_to_table(counts(file_stream(spark, str(tmp_path / "in"), rows.schema, 1), "k"), "stream_counts_test")
+    got = run_to_folder(counts(file_stream(spark, str(tmp_path / "in"), rows.schema, 1), "k"), str(tmp_path / "out"))
     batch = rows.groupBy(F.col("k").alias("key")).agg(F.count("*").alias("value"))
-    assert spark.table("stream_counts_test").exceptAll(batch).isEmpty()
-    assert batch.exceptAll(spark.table("stream_counts_test")).isEmpty()
+    assert got.exceptAll(batch).isEmpty()
+    assert batch.exceptAll(got).isEmpty()
+
+
+def test_a_stream_without_rows_gives_none(spark, tmp_path):
+    spark.range(0).selectExpr("id AS k").write.parquet(str(tmp_path / "in"))
+    stream = counts(file_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema), "k")
+    assert run_to_folder(stream, str(tmp_path / "out")).isEmpty()
 
 
 def test_versions_bear_repeats(spark, tmp_path):
@@ -39,5 +45,4 @@ def test_versions_bear_repeats(spark, tmp_path):
 def test_windows(spark, tmp_path):
     rows = _files(spark, str(tmp_path / "in"), 2)
     frame = windowed_counts(file_stream(spark, str(tmp_path / "in"), rows.schema), "ts", "k", "1 hour", "1 day")
-    run_to_table(frame, "stream_windows_test")
-    assert spark.table("stream_windows_test").agg(F.sum("value")).first()[0] == 200
+    assert run_to_folder(frame, str(tmp_path / "out")).agg(F.sum("value")).first()[0] == 200
