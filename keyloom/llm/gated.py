@@ -16,11 +16,13 @@ HIDDEN = 24
 EMBED = 16
 #: Steps of a training window and streams trained side by side.
 STEPS = 16
-STREAMS = 128
-#: Documents read side by side when scoring, and rows of one output product.
-LANES = 256
+STREAMS = 256
+#: Documents read side by side when scoring, rows scored at once, and of these the
+#: rows whose class scores fit a core's cache.
+LANES = 512
 ROWS = 8192
-RATE = 0.012
+CACHED = 512
+RATE = 0.015
 CLIP = 1.0
 NEVER = np.float32(-1e9)
 
@@ -89,9 +91,15 @@ def unflat(values: np.ndarray, like: Params) -> Params:
     return out
 
 
-def softmax(rows: np.ndarray) -> np.ndarray:
-    rows = np.exp(rows - rows.max(1, keepdims=True))
-    return rows / rows.sum(1, keepdims=True)
+def exponentials(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of scores, which are used up, and the sums of its rows.
+
+    Scores are moved down by their row's greatest only where one is large.
+    """
+    if rows.max(initial=0) > 60:
+        rows -= rows.max(1, keepdims=True)
+    np.exp(rows, out=rows)
+    return rows, rows @ np.ones(rows.shape[1], rows.dtype)
 
 
 def log_softmax(rows: np.ndarray) -> np.ndarray:
@@ -101,12 +109,11 @@ def log_softmax(rows: np.ndarray) -> np.ndarray:
 
 def picked(rows: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
     """Log-probabilities of a column of each row of scores, which are used up."""
-    top = rows.max(initial=0)
-    if top > 60:
-        rows -= rows.max(1, keepdims=True)
     at = np.arange(len(rows))
+    if rows.max(initial=0) > 60:
+        rows -= rows.max(1, keepdims=True)
     found = [rows[at, c].astype(np.float64) for c in columns]
-    total = np.log(np.exp(rows, out=rows).sum(1, dtype=np.float64))
+    total = np.log(exponentials(rows)[1].astype(np.float64))
     return [x - total for x in found]
 
 
@@ -151,20 +158,26 @@ def gradients(p: Params, window: Tokens, h: np.ndarray) -> tuple[Params, np.ndar
     total = max(float(weight.sum()), 1.0)
     at = np.arange(n)
     classes, members, unseen = window.classes.ravel(), window.members.ravel(), window.unseen.ravel()
-    error = softmax(rows @ p["out"] + p["out_bias"])
-    loss = float(-(np.log(error[at, classes] + 1e-20) * weight).sum() / total)
-    error[at, classes] -= 1 - unseen
-    error[:, -1] -= unseen
-    error *= (weight / np.float32(total))[:, None]
+    weight = weight / np.float32(total)
+    error = rows @ p["out"]
+    error += p["out_bias"]
+    error, sums = exponentials(error)
+    loss = float(-(np.log(error[at, classes] / sums + 1e-20) * weight).sum())
+    error *= (weight / sums)[:, None]
+    error[at, classes] -= (1 - unseen) * weight
+    error[:, -1] -= unseen * weight
     g = {k: np.zeros_like(v) for k, v in p.items() if k not in ("out", "out_bias")}
     g["out"], g["out_bias"] = rows.T @ error, error.sum(0)
     back = error @ p["out"].T
     for c, own in by_class(classes, members):
-        e = softmax(rows[own] @ p["member"][c] + p["member_bias"][c])
-        e[np.arange(len(own)), members[own]] -= 1
-        e /= np.float32(total)
-        g["member"][c], g["member_bias"][c] = rows[own].T @ e, e.sum(0)
-        back[own] += e @ p["member"][c].T
+        mine, m = rows[own], p["member"][c]
+        e = mine @ m
+        e += p["member_bias"][c]
+        e, sums = exponentials(e)
+        e *= (np.float32(1 / total) / sums)[:, None]
+        e[at[: len(own)], members[own]] -= np.float32(1 / total)
+        g["member"][c], g["member_bias"][c] = mine.T @ e, e.sum(0)
+        back[own] += e @ m.T
     back = back.reshape(before.shape)
     into, state = np.empty_like(read), np.empty_like(read)
     to_cand, to_z, to_r = (1 - z) * (1 - cand * cand), (before - cand) * z * (1 - z), hidden * r * (1 - r)
@@ -184,7 +197,9 @@ def gradients(p: Params, window: Tokens, h: np.ndarray) -> tuple[Params, np.ndar
     g["keep"] = rows.T @ state.reshape(n, -1)
     g["bias"] = flat_in.sum(0)
     g["read"] = p["embed"][used].T @ flat_in
-    np.add.at(g["embed"], used, flat_in @ p["read"].T)
+    order = np.argsort(used, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(used[order]) != 0))
+    g["embed"][used[order][first]] = np.add.reduceat((flat_in @ p["read"].T)[order], first)
     return g, h, loss
 
 
@@ -268,7 +283,12 @@ def log_probabilities(p: Params, tokens: Tokens) -> tuple[np.ndarray, np.ndarray
         nonlocal states, places, held
         rows, at = np.concatenate(states), order[np.concatenate(places)]
         classes, members = tokens.classes[at], tokens.members[at]
-        found, other = picked(rows @ p["out"] + out_bias, classes, np.full(len(rows), last))
+        found, other = np.empty(len(rows)), np.empty(len(rows))
+        for low in range(0, len(rows), CACHED):
+            part = slice(low, low + CACHED)
+            scores = rows[part] @ p["out"]
+            scores += out_bias
+            found[part], other[part] = picked(scores, classes[part], np.full(len(scores), last))
         for c, mine in by_class(classes, members):
             found[mine] += picked(rows[mine] @ p["member"][c] + member_bias[c], members[mine])[0]
         own[at], unseen[at] = found, other

@@ -50,7 +50,7 @@ HELD_WORDS = 400_000
 BLOCK = 2_500_000
 #: Words that are looked up at once.
 SLICE = 100_000
-TRAIN_BLOCK = 60_000
+TRAIN_BLOCK = 240_000
 #: Share of a word seen once, and of the mean rare word seen once, that stands
 #: for words never seen: a count of one tells more of new words than of its own.
 NEW = 0.7
