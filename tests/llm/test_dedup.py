@@ -386,3 +386,37 @@ def test_interval_join_and_alignment():
     b = np.concatenate([np.arange(1000, 1030, dtype=np.uint64), a[50:150]])
     assert passages(a, b, [(90, 70), (91, 71)], 46, 0.8) == [(50, 149, 30, 129, 1.0)]
     assert passages(a, b[:60], [(70, 50)], 46, 0.8) == []
+
+
+def test_recall_of_near_passages(spark):
+    """Passages of 60 to 200 words with edits, by similarity: nearly all are found."""
+    r = random.Random(21)
+    rows, wanted = [], {}
+    for pair in range(240):
+        base = words(r, r.choice([60, 100, 200]))
+        share = r.choice([0.0, 0.005, 0.01, 0.015, 0.02])
+        near = [w if r.random() > share else "edit" + str(r.random()) for w in base]
+        likeness = jaccard(shingle_hashes(" ".join(base), 5), shingle_hashes(" ".join(near), 5))
+        rows += [(2 * pair, " ".join(words(r, 60) + base + words(r, 30))), (2 * pair + 1, " ".join(words(r, 20) + near + words(r, 90)))]
+        if likeness >= 0.8:
+            wanted[pair] = likeness
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    found = {x.doc_id // 2 for x in repeated_passages(df).collect()}
+    recall = lambda low, high: np.mean([p in found for p, s in wanted.items() if low <= s <= high])
+    print({k: float(recall(*k)) for k in ((0.8, 0.85), (0.85, 0.9), (0.9, 0.99), (0.99, 1.0))})
+    assert recall(0.9, 1.0) >= 0.97 and recall(0.8, 0.9) >= 0.9
+
+
+def test_a_frequent_phrase_inside_passages(spark):
+    """Passages that hold a phrase of 40 words which many other texts hold too."""
+    r = random.Random(22)
+    phrase = words(r, 40)
+    rows = [(i, " ".join(words(r, 40) + phrase + words(r, 30))) for i in range(60)]
+    for pair in range(40):
+        passage = words(r, r.choice([10, 20])) + phrase + words(r, r.choice([10, 20]))
+        rows += [(1000 + 2 * pair + side, " ".join(words(r, 50) + passage + words(r, 50))) for side in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    found = {x for row in repeated_passages(df).collect() if {row.doc_id // 2, row.other_doc_id // 2} & set(range(500, 600)) for x in (row.doc_id // 2,)}
+    recall = len(found) / 40
+    print(recall)
+    assert recall >= 0.9
