@@ -42,9 +42,20 @@ MARKS = 20
 MEMORY = 300_000
 
 NUMBER = re.compile(r"[+-]?[$€£]?\d+(?:[.,:/]\d+)*%?(?:st|nd|rd|th)?")
-# Number words and units of measure.
-NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million billion".split())
-UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr hrs day days week weeks month months year years hour hours minute minutes second seconds meter meters metre metres kilometer kilometers kilometre kilometres mile miles foot feet inch inches gram grams kilogram kilograms pound pounds liter liters litre litres dollar dollars euro euros cent cents percent degree degrees".split())
+# Number words and units of measure in English, German, French and
+# Spanish, but for those that are common words of another kind.
+NUMBER_WORDS = frozenset(
+    "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million billion "
+    "null zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig dreißig vierzig fünfzig hundert tausend "
+    "zéro deux trois quatre cinq sept huit neuf dix onze douze vingt trente quarante cinquante mille "
+    "cero dos tres cuatro cinco seis siete ocho nueve diez doce veinte treinta cuarenta cincuenta cien mil".split()
+)
+UNITS = frozenset(
+    "mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr hrs day days week weeks month months year years hour hours minute minutes second seconds meter meters metre metres kilometer kilometers kilometre kilometres mile miles foot feet inch inches gram grams kilogram kilograms pound pounds liter liters litre litres dollar dollars euro euros cent cents percent degree degrees "
+    "tag tage tagen woche wochen monat monate monaten jahr jahre jahren stunde stunden sekunde sekunden gramm kilogramm pfund grad prozent "
+    "jour jours semaine semaines mois ans année années heure heures seconde secondes mètre mètres kilomètre kilomètres gramme grammes kilogramme kilogrammes litre livres degrés "
+    "día días semana semanas mes meses año años hora horas minuto minutos segundo segundos metro metros kilómetro kilómetros gramo gramos kilogramo kilogramos litro litros grados".split()
+)
 
 EDGE = "\"'`“”‘’«»()[]{}<>.,;:!?¿¡*#&%$|…-"
 CLOSERS = "\"'”’)]}"

@@ -136,3 +136,32 @@ def test_pipeline(spark, sf_dir):
     assert ids(held[4]) == [d for d in ids(held[3]) if d not in bad]
     assert sorted({r.doc_id for r in held[5].collect()}) == ids(held[4])
     assert pipeline.run(spark, sf_dir).count() == held[5].count()
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf_dir):
+    """Nulls, empty and very long texts, repeated rows and columns named like the stages' own."""
+    import corpus_pipeline as pipeline
+
+    long = " ".join(f"word{i % 997} of{i}" for i in range(10_000))
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "a few words of text here", "en", "s", 24), (None, None, None, None, None), (3, long, "en", "s", len(long)), (3, long, "en", "s", len(long)), (4, "One line\nand another line of it", None, None, 31), (5, " \t\n", "de", "s", 3), (6, "ß Éa \ufeff x", "de", "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clashing = ["quality_score", "score", "own", "n_lines", "n_dropped", "page", "kept", "dropped", "bad", "fp", "node", "a", "b", "times", "kid", "root", "place", "component_id", "item_ids", "label", "all"]
+    wide = docs
+    for name in clashing:
+        wide = wide.withColumn(name, F.lit("as given"))
+    for name, stage in pipeline.STAGES[:-1]:
+        got = stage(spark, wide, sf_dir)
+        assert got.columns == wide.columns, name
+        held = got.collect()
+        assert all(r[c] == "as given" for r in held for c in clashing), name
+        assert stage(spark, wide.limit(0), sf_dir).isEmpty(), name
+        plain = stage(spark, docs, sf_dir)
+        assert rows_of(got.select(*docs.columns)) == rows_of(plain), name
+        if name == "line dedup":
+            assert rows_of(plain) == rows_of(docs)
+        if name == "SimHash near-dedup":
+            assert sorted((r.doc_id or 0, (r.text or "").strip()) for r in held) == sorted([(0, "a few words of text here"), (1, ""), (3, long), (4, rows[6][1]), (6, rows[8][1])])
+    packed = pipeline.STAGES[-1][1](spark, wide, sf_dir).collect()
+    assert sorted({r.doc_id or 0 for r in packed}) == [0, 1, 2, 3, 4, 5, 6]
+    assert sum(r.length for r in packed if r.doc_id == 1) == 1
+    assert pipeline.STAGES[-1][1](spark, wide.limit(0), sf_dir).isEmpty()
