@@ -25,6 +25,7 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,10 +48,10 @@ FAN_IN = 256
 LEVELS = 4
 #: Different words a counting task holds, and tokens scored or trained at once.
 HELD_WORDS = 400_000
-BLOCK = 2_500_000
+BLOCK = 1_500_000
 #: Words that are looked up at once.
 SLICE = 100_000
-TRAIN_BLOCK = 240_000
+TRAIN_BLOCK = 120_000
 #: Share of a word seen once, and of the mean rare word seen once, that stands
 #: for words never seen: a count of one tells more of new words than of its own.
 NEW = 0.7
@@ -66,16 +67,17 @@ def ending(word: bytes) -> int:
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """word, c over all texts (column text); the empty word is a document's end."""
+    """word (UTF-8), c over all texts (column text); the empty word is a document's end."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
 
-        def out() -> pd.DataFrame:
-            return pd.DataFrame({"word": pd.Series([w.decode("utf-8") for w in seen], dtype=object), "c": np.fromiter(seen.values(), np.int64, len(seen))})
+        def out() -> pa.RecordBatch:
+            counts = np.fromiter(seen.values(), np.int64, len(seen))
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(counts)], ["word", "c"])
 
-        for frame in frames:
-            for text in frame["text"]:
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
                 seen.update(ascii_words(text))
                 seen[END] += 1
                 if len(seen) >= HELD_WORDS:
@@ -83,7 +85,7 @@ def count_words(texts: DataFrame) -> DataFrame:
                     seen.clear()
         yield out()
 
-    return texts.select("text").mapInPandas(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 @dataclass
@@ -192,8 +194,8 @@ def lexicon(counts: DataFrame, head: int = HEAD) -> tuple[Lexicon, int | None]:
         least = None if held <= head else least
     whole = held <= head
     kept = counts if whole else counts.where(binned(F.col("c")) >= (least if least is not None else 1 << 20))
-    top = sorted(((r.word.encode(), r.c) for r in kept.collect()), key=lambda x: (-x[1], x[0]))
-    kind = F.pmod(F.crc32(F.substring(F.col("word").cast("binary"), -2, 2)), F.lit(ENDINGS))
+    top = sorted(((bytes(r.word), r.c) for r in kept.collect()), key=lambda x: (-x[1], x[0]))
+    kind = F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(ENDINGS))
     sums = counts.groupBy(kind.alias("kind")).agg(F.sum("c").alias("c"), F.count("*").alias("n"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("once")).collect()
     mass = np.zeros(ENDINGS)
     for r in sums:
@@ -249,53 +251,67 @@ def train(texts: DataFrame, words: Lexicon, rounds: int = ROUNDS) -> Params:
 
 #: Scores of a document's head tokens, or of one of its words outside the head:
 #: then key is the word, own and other the logs if it is known and if not.
-SCORED = "key string, row long, doc_id long, held_out boolean, n_tokens long, n long, n_known long, base double, own double, other double"
+SCORED = "key binary, row long, doc_id long, held_out boolean, n_tokens long, n long, n_known long, base double, own double, other double"
 
 
 def _scored(rows: DataFrame, words: Lexicon, params: Params) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast((words, gated.flat(params)))
     names = [c.split()[0] for c in SCORED.split(", ")]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
         lexicon_, values = shared.value
         p = gated.unflat(values, lexicon_.start())
         log_count = np.log10(lexicon_.counts + 0.5)
         mass = lexicon_.class_mass[lexicon_.ending] if len(lexicon_.words) else np.empty(0)
         inner = np.where(np.arange(len(log_count)) < lexicon_.explicit, 0.0, log_count - np.log10(np.maximum(mass, 0.5)))
-        docs = (x for frame in frames for x in frame.itertuples(index=False))
-        for held in by_size(docs, lambda x: len(x.text or "") // 5 + 1, BLOCK):
-            tokens, rank, rare = lexicon_.read([x.text for x in held])
+        docs = (x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("row", "doc_id", "held_out", "text")), strict=True))
+        for held in by_size(docs, lambda x: len(x[3] or "") // 5 + 1, BLOCK):
+            row, doc_id, held_out, texts = zip(*held, strict=True)
+            tokens, rank, rare = lexicon_.read(list(texts))
             own, other = gated.log_probabilities(p, tokens)
-            own, other = own / LN10, other / LN10
+            own /= LN10
+            other /= LN10
             doc = np.cumsum(tokens.first) - 1
             known = rank >= 0
             outside = np.flatnonzero(~known)
             own[known] += inner[rank[known]]
             sums = lambda w: np.bincount(doc[known], w, len(held))
-            row = np.array([x.row for x in held], np.int64)
-            n = np.bincount(doc, minlength=len(held))
-            whole = pd.DataFrame(
-                {
-                    "key": pd.Series([f"\n{r}" for r in row.tolist()], dtype=object),
-                    "row": row,
-                    "doc_id": pd.array([None if pd.isna(x.doc_id) else int(x.doc_id) for x in held], "Int64"),
-                    "held_out": [bool(x.held_out) for x in held],
-                    "n_tokens": n,
-                    "n": 0,
-                    "n_known": sums(None).astype(np.int64),
-                    "base": sums(log_count[rank[known]]),
-                    "own": sums(own[known]),
-                    "other": 0.0,
-                }
+            none = np.zeros(len(held))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([b"\n%d" % r for r in row], pa.binary()),
+                    pa.array(row, pa.int64()),
+                    pa.array(doc_id, pa.int64()),
+                    pa.array(held_out, pa.bool_()),
+                    pa.array(np.bincount(doc, minlength=len(held))),
+                    pa.array(none.astype(np.int64)),
+                    pa.array(sums(None).astype(np.int64)),
+                    pa.array(sums(log_count[rank[known]]).astype(np.float64)),
+                    pa.array(sums(own[known]).astype(np.float64)),
+                    pa.array(none),
+                ],
+                names,
             )
-            yield whole[names]
-            if len(outside):
-                tail = pd.DataFrame({"key": pd.Series([w.decode("utf-8") for w in rare], dtype=object), "row": row[doc[outside]], "own": own[outside], "other": other[outside], "n": 1})
-                tail = tail.assign(doc_id=pd.array([None] * len(tail), "Int64"), held_out=None, n_tokens=0, n_known=0, base=0.0)
-                yield tail[names]
-
-    return rows.mapInPandas(run, SCORED)
+            if n := len(outside):
+                zeros = pa.array(np.zeros(n, np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(rare, pa.binary()),
+                        pa.array(np.array(row, np.int64)[doc[outside]]),
+                        pa.nulls(n, pa.int64()),
+                        pa.nulls(n, pa.bool_()),
+                        zeros,
+                        pa.array(np.ones(n, np.int64)),
+                        zeros,
+                        pa.array(np.zeros(n)),
+                        pa.array(own[outside]),
+                        pa.array(other[outside]),
+                    ],
+                    names,
+                )
+
+    return rows.mapInArrow(run, SCORED)
 
 
 def lm_score(docs: DataFrame, head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
@@ -317,7 +333,7 @@ def lm_score(docs: DataFrame, head: int = HEAD, rounds: int = ROUNDS) -> DataFra
     words, least = lexicon(counts, head)
     params = train(training, words, rounds)
     counts = counts.where(F.lit(False) if least is None else binned(F.col("c")) < least)
-    kind = F.pmod(F.crc32(F.substring(F.col("word").cast("binary"), -2, 2)), F.lit(ENDINGS))
+    kind = F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(ENDINGS))
     masses = F.array(*[F.lit(float(max(m, 0.5))) for m in words.class_mass])
     rare = counts.select(F.col("word").alias("key"), F.col("c"), F.log10(masses[kind]).alias("mass"))
     log_count = F.log10(F.coalesce("c", F.lit(0)) + 0.5)
