@@ -255,6 +255,12 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
         prints, blocks = left, further
 
 
+def pruning(found: DataFrame) -> DataFrame:
+    """One row for what ``links`` found: compared, the pairs near in the first coordinate,
+    and verified, those that no other coordinate of the pivot table discards."""
+    return found.agg(F.sum("compared").alias("compared"), F.sum("verified").alias("verified"))
+
+
 def _key(text: Column) -> list[Column]:
     """Two 64-bit hashes that stand for a text."""
     return [F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")]
