@@ -47,6 +47,15 @@ def scatter_compute_gather(rows: DataFrame, key: str, compute: Callable[[DataFra
     return compute(distribute(rows, key)).orderBy(qid)
 
 
+def undistribute(rows: DataFrame, before: DataFrame, qid: str = "qid") -> DataFrame:
+    """Rows back beside those they were made of: each row of ``before`` with its result.
+
+    The inverse of a placement by key: rows meet by ``qid``, whatever partition they
+    were computed in; a row of ``before`` without a result stays, with nulls.
+    """
+    return before.join(rows, qid, "left")
+
+
 def local_sort(rows: DataFrame, order: Iterable[str]) -> DataFrame:
     return rows.sortWithinPartitions(*order)
 

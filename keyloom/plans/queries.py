@@ -504,6 +504,14 @@ def scatter_gather(spark, sf_dir):
     return movement.scatter_compute_gather(rows, "user_id", lambda d: d.select("qid", (F.col("user_id") * 2).alias("value")))
 
 
+@query("SELECT event_id AS qid, user_id, event_type, CASE WHEN user_id % 2 = 0 THEN user_id * 3 END AS value FROM events")
+def undistribute_results(spark, sf_dir):
+    """Results computed by key, back beside the rows that asked for them."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("qid"), "user_id", "event_type")
+    placed = movement.distribute(rows.select("qid", "user_id"), "user_id")
+    return movement.undistribute(placed.where("user_id % 2 = 0").select("qid", (F.col("user_id") * 3).alias("value")), rows)
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_suppkey % 2 = 1")
 def aux_filter_odd(spark, sf_dir):
     return aux_filter(lines(spark, sf_dir), F.col("l_suppkey") % 2 == 1).select("l_orderkey", "l_linenumber", "l_partkey")
