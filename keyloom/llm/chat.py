@@ -92,7 +92,7 @@ def perspectives(turns: DataFrame, part: int = PART) -> DataFrame:
     placed = _placed(said).withColumn("part", F.floor(F.col("at") / part))
     parts = placed.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("at", "role", "text"))).alias("turns"))
     # Sizes alone tell where a part begins: characters if all were others' turns, and the participant's own turns.
-    sizes = placed.groupBy("conv_id", "part", "role").agg(F.count("*").alias("n"), F.sum(F.length(theirs(F.col("role"))) + F.length("text") + len(tail)).alias("chars"))
+    sizes = stable(placed.groupBy("conv_id", "part", "role").agg(F.count("*").alias("n"), F.sum(F.length(theirs(F.col("role"))) + F.length("text") + len(tail)).alias("chars")))
     whole = sizes.groupBy("conv_id", "part").agg(F.sum("chars").alias("chars"))
     speakers = sizes.where(F.col("role") != SYSTEM).select(F.col("conv_id").alias("c"), F.col("role").alias("participant")).distinct()
     own = sizes.select(F.col("conv_id").alias("oc"), F.col("part").alias("op"), F.col("role").alias("owner"), F.col("n").alias("own"))
