@@ -12,7 +12,7 @@ from conftest import rows_of, sql_rows
 from pyspark.sql import functions as F
 
 from keyloom.llm import components, queries, simhash_dedup
-from keyloom.llm.compact_windows import agreed, compact_windows, passages, repeated_passages
+from keyloom.llm.compact_windows import agreed, common, compact_windows, linked, passages, repeated_passages, surroundings
 from keyloom.llm.exact_dedup import DIGEST, exact_dedup, merge_round, rounds_for
 from keyloom.llm.fingerprint import majority_bits, resemblance, shingle_hashes
 from keyloom.llm.line_dedup import line_dedup
@@ -423,3 +423,68 @@ def test_a_frequent_phrase_inside_passages(spark):
     recall = len(found) / 40
     print(recall)
     assert recall >= 0.9
+
+
+def found_pairs(df, low: int) -> set[int]:
+    """Pairs 2n, 2n + 1 of ids from ``low`` on of which a passage is reported."""
+    return {x.doc_id // 2 for x in repeated_passages(df).collect() if x.doc_id >= low and x.doc_id // 2 == x.other_doc_id // 2}
+
+
+@pytest.mark.parametrize("length", [30, 45, 49])
+def test_a_phrase_nearly_as_long_as_a_passage_hides_none(spark, length):
+    """Many texts hold the phrase, which is no passage; pairs share it and the words around it."""
+    r = random.Random(length)
+    phrase = words(r, length)
+    rows = [(i, " ".join(words(r, 40) + phrase + words(r, 30))) for i in range(100)]
+    for pair in range(50, 90):
+        before = r.randrange(0, 21)
+        passage = words(r, before) + phrase + words(r, 20 - before + max(0, 45 - length))
+        rows += [(2 * pair + side, " ".join(words(r, 50) + passage + words(r, 50))) for side in (0, 1)]
+    got = found_pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), 100)
+    print(len(got) / 40)
+    assert len(got) >= 39
+
+
+def test_a_representative_that_repeats_a_phrase(spark):
+    """The first text of a key holds its phrase several times, once within a passage."""
+    r = random.Random(23)
+    rows = []
+    for pair in range(40):
+        phrase, before, after = words(r, 30), words(r, 15), words(r, 15)
+        often = [x for _ in range(3) for x in words(r, 60) + phrase]
+        rows += [(2 * pair, " ".join(often + words(r, 60) + before + phrase + after + words(r, 60))), (2 * pair + 1, " ".join(words(r, 40) + before + phrase + after + words(r, 40)))]
+    got = found_pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), 0)
+    print(len(got) / 40)
+    assert len(got) >= 39
+
+
+@pytest.mark.parametrize("paired", [2, 32])
+def test_links_equal_brute_force(paired):
+    """Texts around one place: windows that share a passage are linked, or to one that shares it."""
+    r = np.random.default_rng(paired)
+    for _ in range(60):
+        n, place, width = int(r.integers(2, 14)), 60, 46
+        base = r.integers(0, 2**63, 121).astype(np.uint64)
+        texts = []
+        for rid in range(n):
+            own = r.integers(0, 2**63, 121).astype(np.uint64)
+            like = texts[r.integers(0, rid)] if rid and r.random() < 0.5 else base
+            low, high = place - int(r.integers(0, 60)), place + int(r.integers(1, 60))
+            own[low:high] = like[low:high]
+            own[place] = base[place]
+            texts.append(own)
+        windows = np.array([(7, rid, 0, place, 120, int(surroundings(t, np.array([place]), width)[0])) for rid, t in enumerate(texts)])
+        got = {(int(x[1]), int(x[6])) for x in linked(windows, paired)}
+
+        for b in range(n):
+            for a in range(b):
+                equal = np.append(texts[a] == texts[b], False)
+                share = int(np.argmin(equal[place:])) + int(np.argmin(equal[place::-1])) - 1
+                like = int(common(windows[[a], 5], windows[[b], 5])[0])
+                assert like >= 8 or share < 59
+                one, two = sorted(int(np.flatnonzero(windows[:, 5] == windows[t, 5])[0]) for t in (a, b))
+                assert all(t == h or (t, h) in got for t, h in ((t, int(np.flatnonzero(windows[:, 5] == windows[t, 5])[0])) for t in (a, b)))
+                if like >= 8:
+                    assert any({(x, h) for x in (one, two) if x != h} <= got for h in range(one + 1))
+                else:
+                    assert (two, one) in got or n > paired
