@@ -474,7 +474,7 @@ def test_links_equal_brute_force(paired):
             own[place] = base[place]
             texts.append(own)
         windows = np.array([(7, rid, 0, place, 120, int(surroundings(t, np.array([place]), width)[0])) for rid, t in enumerate(texts)])
-        got = {(int(x[1]), int(x[6])) for x in linked(windows, paired)}
+        got = {(int(x[1]), int(x[6])) for links in linked(windows, paired) for x in links}
 
         for b in range(n):
             for a in range(b):
