@@ -11,6 +11,7 @@ import xxhash
 from conftest import rows_of, sql_rows
 from pyspark.sql import functions as F
 
+from keyloom.llm import compact_windows as compact_windows_module
 from keyloom.llm import components, queries, simhash_dedup
 from keyloom.llm.compact_windows import agreed, common, compact_windows, linked, passages, repeated_passages, surroundings
 from keyloom.llm.exact_dedup import DIGEST, exact_dedup, merge_round, rounds_for
@@ -391,6 +392,72 @@ def test_interval_join_and_alignment():
     assert passages(a, b[:60], [(70, 50)], 46, 0.8) == []
 
 
+def plain_passages(a, b, anchors, width, similarity):
+    """Each anchor on its own, aligned with the whole text."""
+    out = []
+    where = {}
+    for k, v in enumerate(b.tolist()):
+        where.setdefault(v, []).append(k)
+    for c, tc in anchors:
+        if any(i <= c <= j and k <= tc <= m for i, j, k, m, _ in out):
+            continue
+        place = np.full(len(a), -1)
+        for h, v in enumerate(a.tolist()):
+            ks = sorted(where.get(v, []), key=lambda k: (abs(k - h - tc + c), -k))
+            if ks and abs(ks[0] - h - tc + c) <= min(8 + abs(h - c) // 4, len(b)):
+                place[h] = ks[0]
+        for least in (similarity, 1.0):
+            i, j = compact_windows_module.stretch(place >= 0, c, least, width)
+            hit = place[i : j + 1][place[i : j + 1] >= 0]
+            if j - i + 1 < width or not len(hit) or hit.max() - hit.min() + 1 < width:
+                continue
+            k, m = int(hit.min()), int(hit.max())
+            score = jaccard(a[i : j + 1], b[k : m + 1])
+            if score >= similarity:
+                out.append((i, j, k, m, score))
+                break
+    return out
+
+
+def test_passages_of_many_pairs_equal_a_plain_search(monkeypatch):
+    """Edited copies, moved parts and repeats; of anchors without a passage few are aligned with the whole text."""
+    r = np.random.default_rng(8)
+    pairs, wanted = [], []
+    for number in range(80):
+        a = r.integers(0, 2**32, int(r.integers(46, 900)), dtype=np.uint32)
+        if number % 4 == 1:
+            a[r.integers(0, len(a), len(a) // 3)] = a[0]
+        part = [a[i : i + 90] for i in range(0, len(a), 90)]
+        if number % 3 == 1:
+            part = [part[i] for i in r.permutation(len(part))]
+        b = np.concatenate([x for y in part for x in (y, r.integers(0, 2**32, int(r.integers(0, 9)), dtype=np.uint32))])
+        edited = r.random(len(b)) < r.choice([0, 0.05, 0.12, 0.25])
+        b[edited] = r.integers(0, 2**32, int(edited.sum()), dtype=np.uint32)
+        where = {v: i for i, v in enumerate(b.tolist())}
+        anchors = [(c, where[v]) for c, v in enumerate(a.tolist()) if v in where and r.random() < 0.2]
+        pairs.append((a, b, anchors))
+        wanted.append(plain_passages(a, b, anchors, 46, 0.8))
+    whole = []
+    stretch = compact_windows_module.stretch
+    monkeypatch.setattr(compact_windows_module, "stretch", lambda *x: whole.append(x) or stretch(*x))
+    assert compact_windows_module.passages_of(pairs, 46, 0.8) == wanted
+    assert sum(map(len, wanted)) > 80 and sum(len(x[2]) for x in pairs) > 5 * len(whole)
+    assert [passages(*pair, 46, 0.8) for pair in pairs] == wanted
+
+
+def test_tokens_of_spans_are_those_of_the_text(monkeypatch):
+    """A text that is in many pairs is cut into words once."""
+    r = random.Random(5)
+    texts = [" ".join(words(r, 80)) for _ in range(3)]
+    spans = [(t, low, low + r.randrange(1, 20)) for t in texts for low in (9, 0, 40, 3)]
+    cut = []
+    split = compact_windows_module.ascii_words
+    monkeypatch.setattr(compact_windows_module, "ascii_words", lambda t: cut.append(t) or split(t))
+    got = compact_windows_module.span_tokens(spans, 5)
+    assert got == [(shingle_hashes(t, 5)[low : high + 1] >> np.uint64(32)).astype(np.uint32).tobytes() for t, low, high in spans]
+    assert len(cut) == 3
+
+
 def test_recall_of_near_passages(spark):
     """Passages of 60 to 200 words with edits, by similarity: nearly all are found."""
     r = random.Random(21)
