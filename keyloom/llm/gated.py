@@ -57,10 +57,6 @@ class Tokens:
 Params = dict[str, np.ndarray]
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
-
-
 def fresh(shape: Shape, class_bias: np.ndarray, member_bias: np.ndarray) -> Params:
     """Parameters that predict the given log frequencies, whatever the context."""
     r = np.random.default_rng(3)
@@ -91,12 +87,18 @@ def unflat(values: np.ndarray, like: Params) -> Params:
     return out
 
 
-def exponentials(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bounded(weights: np.ndarray) -> bool:
+    """Whether no score of a state (whose parts are -1 to 1) is large; the last row of weights is the bias."""
+    return bool((np.abs(weights[:-1]).sum(0) + weights[-1]).max(initial=0) < 60)
+
+
+def exponentials(rows: np.ndarray, small: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """exp of scores, which are used up, and the sums of its rows.
 
-    Scores are moved down by their row's greatest only where one is large.
+    Scores are moved down by their row's greatest only where one is large; none
+    is if they are known to be ``small``.
     """
-    if rows.max(initial=0) > 60:
+    if not small and rows.max(initial=0) > 60:
         rows -= rows.max(1, keepdims=True)
     np.exp(rows, out=rows)
     return rows, rows @ np.ones(rows.shape[1], rows.dtype)
@@ -107,23 +109,43 @@ def log_softmax(rows: np.ndarray) -> np.ndarray:
     return rows - np.log(np.exp(rows).sum(1, keepdims=True))
 
 
-def picked(rows: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+def picked(rows: np.ndarray, *columns: np.ndarray, small: bool = False) -> list[np.ndarray]:
     """Log-probabilities of a column of each row of scores, which are used up."""
     at = np.arange(len(rows))
-    if rows.max(initial=0) > 60:
+    if not small and rows.max(initial=0) > 60:
         rows -= rows.max(1, keepdims=True)
     found = [rows[at, c].astype(np.float64) for c in columns]
-    total = np.log(exponentials(rows)[1].astype(np.float64))
+    total = np.log(exponentials(rows, True)[1].astype(np.float64))
     return [x - total for x in found]
 
 
+def advance(keep: np.ndarray, read: np.ndarray, h: np.ndarray, gates: np.ndarray, cand: np.ndarray, hidden: np.ndarray) -> np.ndarray:
+    """The next states, a column each; ``read``: projected inputs, ``keep``: transposed.
+
+    The last three arguments receive what the backward pass needs.
+    """
+    kept = keep @ h
+    np.add(read[: 2 * HIDDEN], kept[: 2 * HIDDEN], out=gates)
+    gates *= gates.dtype.type(0.5)
+    np.tanh(gates, out=gates)
+    gates *= gates.dtype.type(0.5)
+    gates += gates.dtype.type(0.5)
+    hidden[:] = kept[2 * HIDDEN :]
+    np.multiply(hidden, gates[HIDDEN:], out=cand)
+    cand += read[2 * HIDDEN :]
+    np.tanh(cand, out=cand)
+    after = h - cand
+    after *= gates[:HIDDEN]
+    after += cand
+    return after
+
+
 def step(p: Params, read: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The next state, with what the backward pass needs; ``read``: projected inputs."""
-    kept = h @ p["keep"]
-    gates = sigmoid(read[:, : 2 * HIDDEN] + kept[:, : 2 * HIDDEN])
-    z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-    n = np.tanh(read[:, 2 * HIDDEN :] + r * kept[:, 2 * HIDDEN :])
-    return n + z * (h - n), z, r, n, kept[:, 2 * HIDDEN :]
+    """The next states, a row each, with what the backward pass needs; ``read``: projected inputs."""
+    kind = np.result_type(read, h, p["keep"])
+    parts = [np.empty((size, len(h)), kind) for size in (2 * HIDDEN, HIDDEN, HIDDEN)]
+    after = advance(p["keep"].T, read.T, h.T, *parts)
+    return after.T, parts[0][:HIDDEN].T, parts[0][HIDDEN:].T, parts[1].T, parts[2].T
 
 
 def by_class(classes: np.ndarray, members: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -144,63 +166,69 @@ def gradients(p: Params, window: Tokens, h: np.ndarray) -> tuple[Params, np.ndar
     """
     steps, streams = window.inputs.shape
     used = window.inputs.ravel()
-    read = (p["embed"][used] @ p["read"] + p["bias"]).reshape(steps, streams, -1)
+    # States and gates are columns, so that each gate's are side by side in memory.
+    table = np.ascontiguousarray((p["embed"] @ p["read"] + p["bias"]).T)
     opens = window.first.any(1)
-    before, z, r, cand, hidden = (np.empty((steps, streams, HIDDEN), read.dtype) for _ in range(5))
+    before, cand, hidden = (np.empty((steps, HIDDEN, streams), table.dtype) for _ in range(3))
+    gates = np.empty((steps, 2 * HIDDEN, streams), table.dtype)
+    keep, h = np.ascontiguousarray(p["keep"].T), h.T
     for t in range(steps):
         if opens[t]:
-            h = np.where(window.first[t][:, None], np.float32(0), h)
+            h = np.where(window.first[t], table.dtype.type(0), h)
         before[t] = h
-        h, z[t], r[t], cand[t], hidden[t] = step(p, read[t], h)
-    rows = before.reshape(-1, HIDDEN)
+        h = advance(keep, table.take(window.inputs[t], 1), h, gates[t], cand[t], hidden[t])
+    z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
+    rows = before.transpose(0, 2, 1).reshape(-1, HIDDEN)
     n = len(rows)
     weight = np.ones(n, np.float32) if window.weight is None else window.weight.ravel()
     total = max(float(weight.sum()), 1.0)
     at = np.arange(n)
     classes, members, unseen = window.classes.ravel(), window.members.ravel(), window.unseen.ravel()
     weight = weight / np.float32(total)
-    error = rows @ p["out"]
-    error += p["out_bias"]
-    error, sums = exponentials(error)
+    # A last column of ones brings the bias; errors are left unscaled, their rows' scales go to the narrow side.
+    wide = np.concatenate([rows, np.ones((n, 1), rows.dtype)], 1)
+    out = np.concatenate([p["out"], p["out_bias"][None]])
+    error, sums = exponentials(wide @ out, bounded(out))
     loss = float(-(np.log(error[at, classes] / sums + 1e-20) * weight).sum())
-    error *= (weight / sums)[:, None]
-    error[at, classes] -= (1 - unseen) * weight
-    error[:, -1] -= unseen * weight
+    error[at, classes] -= (1 - unseen) * sums
+    error[:, -1] -= unseen * sums
+    scale = (weight / sums)[:, None]
     g = {k: np.zeros_like(v) for k, v in p.items() if k not in ("out", "out_bias")}
-    g["out"], g["out_bias"] = rows.T @ error, error.sum(0)
+    g_out = (wide * scale).T @ error
+    g["out"], g["out_bias"] = g_out[:-1], g_out[-1]
     back = error @ p["out"].T
+    back *= scale
     for c, own in by_class(classes, members):
-        mine, m = rows[own], p["member"][c]
-        e = mine @ m
-        e += p["member_bias"][c]
-        e, sums = exponentials(e)
-        e *= (np.float32(1 / total) / sums)[:, None]
-        e[at[: len(own)], members[own]] -= np.float32(1 / total)
-        g["member"][c], g["member_bias"][c] = mine.T @ e, e.sum(0)
-        back[own] += e @ m.T
-    back = back.reshape(before.shape)
-    into, state = np.empty_like(read), np.empty_like(read)
+        mine, m = wide[own], np.concatenate([p["member"][c], p["member_bias"][c][None]])
+        e, sums = exponentials(mine @ m, bounded(m))
+        e[at[: len(own)], members[own]] -= sums
+        scale = (np.float32(1 / total) / sums)[:, None]
+        g_member = (mine * scale).T @ e
+        g["member"][c], g["member_bias"][c] = g_member[:-1], g_member[-1]
+        back[own] += (e @ m[:-1].T) * scale
+    back = np.ascontiguousarray(back.reshape(steps, streams, HIDDEN).transpose(0, 2, 1))
+    into, state = (np.empty((steps, 3 * HIDDEN, streams), table.dtype) for _ in range(2))
     to_cand, to_z, to_r = (1 - z) * (1 - cand * cand), (before - cand) * z * (1 - z), hidden * r * (1 - r)
-    keep = np.ascontiguousarray(p["keep"].T)
-    dh = np.zeros_like(h)
+    dh = np.zeros_like(back[0])
     for t in reversed(range(steps)):
-        dn = dh * to_cand[t]
-        into[t, :, :HIDDEN] = dh * to_z[t]
-        into[t, :, HIDDEN : 2 * HIDDEN] = dn * to_r[t]
-        into[t, :, 2 * HIDDEN :] = dn
-        state[t] = into[t]
-        state[t, :, 2 * HIDDEN :] *= r[t]
-        dh = dh * z[t] + state[t] @ keep + back[t]
+        dn = np.multiply(dh, to_cand[t], out=into[t, 2 * HIDDEN :])
+        np.multiply(dh, to_z[t], out=into[t, :HIDDEN])
+        np.multiply(dn, to_r[t], out=into[t, HIDDEN : 2 * HIDDEN])
+        state[t, : 2 * HIDDEN] = into[t, : 2 * HIDDEN]
+        np.multiply(dn, r[t], out=state[t, 2 * HIDDEN :])
+        dh *= z[t]
+        dh += p["keep"] @ state[t]
+        dh += back[t]
         if opens[t]:
-            dh[window.first[t]] = 0
-    flat_in = into.reshape(n, -1)
-    g["keep"] = rows.T @ state.reshape(n, -1)
+            dh[:, window.first[t]] = 0
+    flat_in = into.transpose(0, 2, 1).reshape(n, -1)
+    g["keep"] = rows.T @ state.transpose(0, 2, 1).reshape(n, -1)
     g["bias"] = flat_in.sum(0)
     g["read"] = p["embed"][used].T @ flat_in
     order = np.argsort(used, kind="stable")
     first = np.flatnonzero(np.append(True, np.diff(used[order]) != 0))
     g["embed"][used[order][first]] = np.add.reduceat((flat_in @ p["read"].T)[order], first)
-    return g, h, loss
+    return g, h.T, loss
 
 
 class Trainer:
@@ -269,41 +297,48 @@ def log_probabilities(p: Params, tokens: Tokens) -> tuple[np.ndarray, np.ndarray
     dealt = lanes(lengths, LANES)
     order = np.concatenate([np.arange(starts[d], starts[d] + lengths[d]) for lane in dealt for d in lane]) if n else np.empty(0, int)
     sizes = np.array([sum(int(lengths[d]) for d in lane) for lane in dealt], int)
-    begin = np.cumsum(sizes) - sizes
-    read = p["embed"] @ p["read"] + p["bias"]
-    last = p["out"].shape[1] - 1
-    out_bias, member_bias = p["out_bias"] - p["out_bias"].max(), p["member_bias"] - p["member_bias"].max(1, keepdims=True)
+    # Tokens by step, in each the lanes that still have one, the longest first.
+    turn = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    order = order[np.argsort(turn, kind="stable")]
+    ends = np.cumsum(np.bincount(turn)).tolist()
     inputs, first = tokens.inputs[order], tokens.first[order]
-    h = np.zeros((len(dealt), HIDDEN), np.float32)
-    states: list[np.ndarray] = []
-    places: list[np.ndarray] = []
-    held = 0
-
-    def flush() -> None:
-        nonlocal states, places, held
-        rows, at = np.concatenate(states), order[np.concatenate(places)]
+    opens = np.logical_or.reduceat(first, [0, *ends[:-1]]).tolist() if n else []
+    read = np.ascontiguousarray((p["embed"] @ p["read"] + p["bias"]).T)
+    keep = np.ascontiguousarray(p["keep"].T)
+    last = p["out"].shape[1] - 1
+    out = np.concatenate([p["out"], (p["out_bias"] - p["out_bias"].max())[None]])
+    member = np.concatenate([p["member"], (p["member_bias"] - p["member_bias"].max(1, keepdims=True))[:, None]], 1)
+    small, small_members = bounded(out), [bounded(m) for m in member]
+    states = np.ones((HIDDEN + 1, ROWS + len(dealt)), np.float32)
+    h = np.zeros((HIDDEN, len(dealt)), np.float32)
+
+    def flush(start: int, end: int) -> None:
+        rows, at = np.ascontiguousarray(states[:, : end - start].T), order[start:end]
         classes, members = tokens.classes[at], tokens.members[at]
         found, other = np.empty(len(rows)), np.empty(len(rows))
         for low in range(0, len(rows), CACHED):
             part = slice(low, low + CACHED)
-            scores = rows[part] @ p["out"]
-            scores += out_bias
-            found[part], other[part] = picked(scores, classes[part], np.full(len(scores), last))
+            scores = rows[part] @ out
+            found[part], other[part] = picked(scores, classes[part], np.full(len(scores), last), small=small)
         for c, mine in by_class(classes, members):
-            found[mine] += picked(rows[mine] @ p["member"][c] + member_bias[c], members[mine])[0]
+            found[mine] += picked(rows[mine] @ member[c], members[mine], small=small_members[c])[0]
         own[at], unseen[at] = found, other
-        states, places, held = [], [], 0
-
-    for t in range(int(sizes[0]) if len(sizes) else 0):
-        live = int(np.searchsorted(-sizes, -t, side="left"))
-        at = begin[:live] + t
-        h = np.where(first[at][:, None], np.float32(0), h[:live])
-        states.append(h)
-        places.append(at)
-        held += live
-        if held >= ROWS:
-            flush()
-        h = step(p, read[inputs[at]], h)[0]
-    if held:
-        flush()
+
+    gates = cand = hidden = np.empty((0, 0), np.float32)
+    flushed = start = 0
+    for end, opened in zip(ends, opens, strict=True):
+        h = h[:, : end - start]
+        if opened:
+            h = np.where(first[start:end], np.float32(0), h)
+        states[:HIDDEN, start - flushed : end - flushed] = h
+        live = end - start
+        if gates.shape[1] != live:
+            gates, cand, hidden = (np.empty((size, live), np.float32) for size in (2 * HIDDEN, HIDDEN, HIDDEN))
+        h = advance(keep, read.take(inputs[start:end], 1), h, gates, cand, hidden)
+        start = end
+        if start - flushed >= ROWS:
+            flush(flushed, start)
+            flushed = start
+    if start > flushed:
+        flush(flushed, start)
     return own, unseen

@@ -162,6 +162,30 @@ def test_gradients_match_differences():
             assert g[k][at] == pytest.approx((up - down) / 2e-5, rel=2e-2, abs=1e-5), (k, at)
 
 
+def test_scores_are_moved_down_only_where_they_can_be_large():
+    """A bound on the weights spares a pass over the scores; it holds for every state."""
+    r = np.random.default_rng(12)
+    for scale in (0.1, 1, 5, 30):
+        weights = (r.standard_normal((gated.HIDDEN + 1, 129)) * scale).astype(np.float32)
+        states = np.sign(weights[:-1].T)
+        scores = states @ weights[:-1] + weights[-1]
+        assert gated.bounded(weights) == (scores.max() < 60)
+        sums = gated.exponentials(scores.copy(), gated.bounded(weights))[1]
+        assert np.isfinite(sums).all() and (sums > 0).all()
+
+
+def test_steps_by_rows_and_columns_agree():
+    r = np.random.default_rng(13)
+    p = {"keep": r.standard_normal((gated.HIDDEN, 3 * gated.HIDDEN))}
+    read, h = r.standard_normal((7, 3 * gated.HIDDEN)), np.tanh(r.standard_normal((7, gated.HIDDEN)))
+    kept = h @ p["keep"]
+    z, reset = (1 / (1 + np.exp(-(read + kept)[:, k * gated.HIDDEN : (k + 1) * gated.HIDDEN])) for k in (0, 1))
+    n = np.tanh(read[:, 2 * gated.HIDDEN :] + reset * kept[:, 2 * gated.HIDDEN :])
+    assert np.allclose(gated.step(p, read, h)[0], n + z * (h - n))
+    parts = [np.empty((size, 7)) for size in (2 * gated.HIDDEN, gated.HIDDEN, gated.HIDDEN)]
+    assert np.allclose(gated.advance(p["keep"].T, read.T, h.T, *parts), (n + z * (h - n)).T)
+
+
 def test_quality_on_held_out_labels(spark, sf_dir):
     big = sf_dir.replace("0.001", "0.01")
     got = {r.doc_id: r for r in queries.op5_quality(spark, big).collect()}
