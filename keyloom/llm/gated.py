@@ -53,6 +53,9 @@ class Tokens:
     first: np.ndarray
     weight: np.ndarray | None = None
 
+    def part(self, start: int, end: int) -> Tokens:
+        return Tokens(*(x[start:end] for x in (self.inputs, self.classes, self.members, self.unseen, self.first)))
+
 
 Params = dict[str, np.ndarray]
 
@@ -92,6 +95,11 @@ def bounded(weights: np.ndarray) -> bool:
     return bool((np.abs(weights[:-1]).sum(0) + weights[-1]).max(initial=0) < 60)
 
 
+def ordered(values: np.ndarray) -> np.ndarray:
+    """A stable order of whole numbers from 0; those of 16 bits are sorted by their digits."""
+    return np.argsort(values.astype(np.uint16) if values.max(initial=0) < 1 << 16 else values, kind="stable")
+
+
 def exponentials(rows: np.ndarray, small: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """exp of scores, which are used up, and the sums of its rows.
 
@@ -151,7 +159,7 @@ def step(p: Params, read: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
 def by_class(classes: np.ndarray, members: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """Each explicit class with the rows whose token is in it."""
     rows = np.flatnonzero(members >= 0)
-    rows = rows[np.argsort(classes[rows], kind="stable")]
+    rows = rows[ordered(classes[rows])]
     if not len(rows):
         return []
     cut = np.flatnonzero(np.diff(classes[rows])) + 1
@@ -167,7 +175,9 @@ def gradients(p: Params, window: Tokens, h: np.ndarray) -> tuple[Params, np.ndar
     steps, streams = window.inputs.shape
     used = window.inputs.ravel()
     # States and gates are columns, so that each gate's are side by side in memory.
-    table = np.ascontiguousarray((p["embed"] @ p["read"] + p["bias"]).T)
+    table = p["embed"] @ p["read"]
+    table += p["bias"]
+    read = np.ascontiguousarray(table.take(used, 0).reshape(steps, streams, -1).transpose(0, 2, 1))
     opens = window.first.any(1)
     before, cand, hidden = (np.empty((steps, HIDDEN, streams), table.dtype) for _ in range(3))
     gates = np.empty((steps, 2 * HIDDEN, streams), table.dtype)
@@ -176,58 +186,80 @@ def gradients(p: Params, window: Tokens, h: np.ndarray) -> tuple[Params, np.ndar
         if opens[t]:
             h = np.where(window.first[t], table.dtype.type(0), h)
         before[t] = h
-        h = advance(keep, table.take(window.inputs[t], 1), h, gates[t], cand[t], hidden[t])
+        h = advance(keep, read[t], h, gates[t], cand[t], hidden[t])
     z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-    rows = before.transpose(0, 2, 1).reshape(-1, HIDDEN)
-    n = len(rows)
+    n = len(used)
+    # A last column of ones brings the bias; errors are left unscaled, their rows' scales go to the narrow side.
+    wide = np.ones((n, HIDDEN + 1), table.dtype)
+    wide[:, :-1].reshape(steps, streams, HIDDEN)[:] = before.transpose(0, 2, 1)
     weight = np.ones(n, np.float32) if window.weight is None else window.weight.ravel()
     total = max(float(weight.sum()), 1.0)
     at = np.arange(n)
     classes, members, unseen = window.classes.ravel(), window.members.ravel(), window.unseen.ravel()
     weight = weight / np.float32(total)
-    # A last column of ones brings the bias; errors are left unscaled, their rows' scales go to the narrow side.
-    wide = np.concatenate([rows, np.ones((n, 1), rows.dtype)], 1)
     out = np.concatenate([p["out"], p["out_bias"][None]])
-    error, sums = exponentials(wide @ out, bounded(out))
-    loss = float(-(np.log(error[at, classes] / sums + 1e-20) * weight).sum())
-    error[at, classes] -= (1 - unseen) * sums
-    error[:, -1] -= unseen * sums
-    scale = (weight / sums)[:, None]
-    g = {k: np.zeros_like(v) for k, v in p.items() if k not in ("out", "out_bias")}
-    g_out = (wide * scale).T @ error
-    g["out"], g["out_bias"] = g_out[:-1], g_out[-1]
-    back = error @ p["out"].T
-    back *= scale
-    for c, own in by_class(classes, members):
-        mine, m = wide[own], np.concatenate([p["member"][c], p["member_bias"][c][None]])
-        e, sums = exponentials(mine @ m, bounded(m))
-        e[at[: len(own)], members[own]] -= sums
-        scale = (np.float32(1 / total) / sums)[:, None]
-        g_member = (mine * scale).T @ e
-        g["member"][c], g["member_bias"][c] = g_member[:-1], g_member[-1]
-        back[own] += (e @ m[:-1].T) * scale
+    small, across, g_out, loss = bounded(out), np.ascontiguousarray(p["out"].T), 0, 0.0
+    back = np.empty((n, HIDDEN), table.dtype)
+    for low in range(0, n, CACHED):
+        part = slice(low, low + CACHED)
+        mine, own, given, rest = wide[part], classes[part], weight[part], unseen[part]
+        error, sums = exponentials(mine @ out, small)
+        place = at[: len(mine)]
+        hit = error[place, own]
+        loss -= float(np.log(hit / sums + 1e-20) @ given)
+        error[place, own] = hit - (1 - rest) * sums
+        error[:, -1] -= rest * sums
+        scale = given / sums
+        g_out = g_out + np.multiply(mine.T, scale, order="C") @ error
+        np.multiply(error @ across, scale[:, None], out=back[part])
+    g = {"out": g_out[:-1], "out_bias": g_out[-1]}
+    member = np.concatenate([p["member"], p["member_bias"][:, None]], 1)
+    g_member = np.zeros_like(member)
+    tame = (np.abs(p["member"]).sum(1) + p["member_bias"]).max(1, initial=0) < 60
+    if explicit := by_class(classes, members):
+        rows = np.concatenate([own for _, own in explicit])
+        taken, chosen = wide.take(rows, 0), members[rows]
+        extra = np.empty((len(rows), HIDDEN), table.dtype)
+        thin = np.ascontiguousarray(p["member"].transpose(0, 2, 1))
+        high = 0
+        for c, own in explicit:
+            low, high = high, high + len(own)
+            mine = taken[low:high]
+            e, sums = exponentials(mine @ member[c], tame[c])
+            e[at[: high - low], chosen[low:high]] -= sums
+            scale = (np.float32(1 / total) / sums)[:, None]
+            np.matmul((mine * scale).T, e, out=g_member[c])
+            np.multiply(e @ thin[c], scale, out=extra[low:high])
+        back[rows] += extra
+    g["member"], g["member_bias"] = g_member[:, :-1], g_member[:, -1]
     back = np.ascontiguousarray(back.reshape(steps, streams, HIDDEN).transpose(0, 2, 1))
-    into, state = (np.empty((steps, 3 * HIDDEN, streams), table.dtype) for _ in range(2))
-    to_cand, to_z, to_r = (1 - z) * (1 - cand * cand), (before - cand) * z * (1 - z), hidden * r * (1 - r)
+    # Errors of the candidate, both gates and, what the kept state brought to it, the candidate again.
+    parts = np.empty((steps, 4 * HIDDEN, streams), table.dtype)
+    slope = z * (1 - z)
+    slope *= before - cand
+    to_cand, to_r = (1 - z) * (1 - cand * cand), hidden * r * (1 - r)
     dh = np.zeros_like(back[0])
     for t in reversed(range(steps)):
-        dn = np.multiply(dh, to_cand[t], out=into[t, 2 * HIDDEN :])
-        np.multiply(dh, to_z[t], out=into[t, :HIDDEN])
-        np.multiply(dn, to_r[t], out=into[t, HIDDEN : 2 * HIDDEN])
-        state[t, : 2 * HIDDEN] = into[t, : 2 * HIDDEN]
-        np.multiply(dn, r[t], out=state[t, 2 * HIDDEN :])
+        now = parts[t]
+        dn = np.multiply(dh, to_cand[t], out=now[:HIDDEN])
+        np.multiply(dh, slope[t], out=now[HIDDEN : 2 * HIDDEN])
+        np.multiply(dn, to_r[t], out=now[2 * HIDDEN : 3 * HIDDEN])
+        np.multiply(dn, r[t], out=now[3 * HIDDEN :])
         dh *= z[t]
-        dh += p["keep"] @ state[t]
+        dh += p["keep"] @ now[HIDDEN:]
         dh += back[t]
         if opens[t]:
             dh[:, window.first[t]] = 0
-    flat_in = into.transpose(0, 2, 1).reshape(n, -1)
-    g["keep"] = rows.T @ state.transpose(0, 2, 1).reshape(n, -1)
-    g["bias"] = flat_in.sum(0)
-    g["read"] = p["embed"][used].T @ flat_in
-    order = np.argsort(used, kind="stable")
+    g["keep"] = np.matmul(before, parts[:, HIDDEN:].transpose(0, 2, 1)).sum(0)
+    into = parts[:, : 3 * HIDDEN]
+    shown = p["embed"].take(used, 0).reshape(steps, streams, -1)
+    g["read"] = np.roll(np.matmul(into, shown).sum(0), -HIDDEN, 0).T
+    g["bias"] = np.roll(into.sum((0, 2)), -HIDDEN)
+    order = ordered(used)
     first = np.flatnonzero(np.append(True, np.diff(used[order]) != 0))
-    g["embed"][used[order][first]] = np.add.reduceat((flat_in @ p["read"].T)[order], first)
+    spread = np.matmul(into.transpose(0, 2, 1), np.roll(p["read"], HIDDEN, 1).T).reshape(n, -1)
+    g["embed"] = np.zeros_like(p["embed"])
+    g["embed"][used[order[first]]] = np.add.reduceat(spread.take(order, 0), first)
     return g, h.T, loss
 
 
@@ -266,9 +298,17 @@ class Trainer:
         for k, v in g.items():
             v = v * scale
             m, s = self.mean[k], self.square[k]
-            m += np.float32(0.1) * (v - m)
-            s += np.float32(0.001) * (v * v - s)
-            self.p[k] -= rate * m / (np.sqrt(s) + np.float32(1e-8))
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * v
+            v *= v
+            v *= np.float32(0.001)
+            s *= np.float32(0.999)
+            s += v
+            np.sqrt(s, out=v)
+            v += np.float32(1e-8)
+            np.divide(m, v, out=v)
+            v *= rate
+            self.p[k] -= v
 
 
 def lanes(lengths: np.ndarray, count: int) -> list[list[int]]:

@@ -18,21 +18,21 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import repeat
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm import gated
 from keyloom.llm.gated import NEVER, Params, Shape, Tokens, Trainer
-from keyloom.llm.text import ascii_words, by_size, crc_mod, one_thread, stable
+from keyloom.llm.text import by_size, crc_mod, one_thread, stable, text_blocks, word_lists
 
 FOLDS = 5
 HELD_OUT = 1
@@ -46,11 +46,9 @@ ROUNDS = 2
 #: partitions that a job can have, so that one copy reaches the driver.
 FAN_IN = 256
 LEVELS = 4
-#: Different words a counting task holds, and tokens scored or trained at once.
-HELD_WORDS = 400_000
+#: Tokens counted, looked up or scored, and trained at once.
+COUNTED = 3_000_000
 BLOCK = 1_500_000
-#: Words that are looked up at once.
-SLICE = 100_000
 TRAIN_BLOCK = 120_000
 #: Share of a word seen once, and of the mean rare word seen once, that stands
 #: for words never seen: a count of one tells more of new words than of its own.
@@ -66,24 +64,33 @@ def ending(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % ENDINGS
 
 
+@cache
+def _ending_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Classes of one byte, and of two by their value in big-endian order."""
+    return np.array([ending(bytes([i])) for i in range(256)], np.int32), np.array([ending(bytes(divmod(i, 256))) for i in range(1 << 16)], np.int32)
+
+
+def endings(words: pa.BinaryArray) -> np.ndarray:
+    """The class of each word by its last two bytes."""
+    _, offsets, data = words.buffers()
+    places = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+    letters = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+    size, last = np.diff(places), places[1:] - 1
+    one, two = _ending_tables()
+    low = letters[last].astype(np.int32)
+    kind = two[letters[last - 1].astype(np.int32) * 256 + low]
+    short = np.flatnonzero(size < 2)
+    kind[short] = np.where(size[short] == 1, one[low[short]], ending(END))
+    return kind
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """word (UTF-8), c over all texts (column text); the empty word is a document's end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            counts = np.fromiter(seen.values(), np.int64, len(seen))
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(counts)], ["word", "c"])
-
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                seen.update(ascii_words(text))
-                seen[END] += 1
-                if len(seen) >= HELD_WORDS:
-                    yield out()
-                    seen.clear()
-        yield out()
+        for block in text_blocks(batches, COUNTED):
+            counts = pc.value_counts(word_lists(block.column("text")).flatten().view(pa.binary()))
+            yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], ["word", "c"])
 
     return texts.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -103,13 +110,21 @@ class Lexicon:
     class_mass: np.ndarray
     once: float
     hapaxes: int
-    rank: dict[bytes, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.rank = {w: i for i, w in enumerate(self.words)}
+        self.known = pa.array(self.words, pa.binary())
         self.explicit = min(EXPLICIT, len(self.words))
         self.classes = EXPLICIT // MEMBERS
-        self.ending = np.array([ending(w) for w in self.words], np.int32)
+        self.ending = endings(self.known)
+        # Of each rank, and at the end of a word outside the head: input, class, member and unseen share.
+        rank = np.arange(len(self.words) + 1, dtype=np.int32)
+        kind = np.append(self.ending, np.int32(0))
+        explicit = rank < self.explicit
+        self.inputs = np.where(explicit, rank, EXPLICIT + kind)
+        self.class_of = np.where(explicit, rank // MEMBERS, self.classes + kind)
+        self.member = np.where(explicit, rank % MEMBERS, np.int32(-1))
+        self.unseen = np.append(np.where(np.asarray(self.counts) == 1, NEW, 0.0), NEW * self.once).astype(np.float32)
+        self.unseen[: self.explicit] = 0
 
     def __reduce__(self):
         return Lexicon, (self.words, self.counts, self.tokens, self.types, self.class_mass, self.once, self.hapaxes)
@@ -129,48 +144,20 @@ class Lexicon:
         mass[-1] = max(0.5, NEW * self.hapaxes)
         return gated.fresh(self.shape, np.where(mass > 0, np.log(np.maximum(mass, 1e-9)), NEVER), members)
 
-    def read(self, texts: list[str | None]) -> tuple[Tokens, np.ndarray, list[bytes]]:
+    def read(self, texts: list[str | None] | pa.Array) -> tuple[Tokens, np.ndarray, pa.BinaryArray]:
         """Tokens of the texts, each token's rank (-1: not in the head) and those words."""
-        parts: list[np.ndarray] = []
-        kinds: list[int] = []
-        rare: list[bytes] = []
-        sizes: list[int] = []
-        words: list[bytes] = []
-
-        def look_up() -> None:
-            rank = np.fromiter(map(self.rank.get, words, repeat(-1)), np.int32, len(words))
-            new = [words[i] for i in np.flatnonzero(rank < 0).tolist()]
-            kinds.extend(map(ending, new))
-            rare.extend(new)
-            parts.append(rank)
-            words.clear()
-
-        for text in texts:
-            own = ascii_words(text)
-            own.append(END)
-            sizes.append(len(own))
-            words += own
-            if len(words) >= SLICE:
-                look_up()
-        look_up()
-        rank = np.concatenate(parts)
-        outside = rank < 0
-        kind = self.ending[rank] if len(self.ending) else np.zeros(len(rank), np.int32)
-        kind[outside] = kinds
-        unseen = np.where(self.counts[rank] == 1, np.float32(NEW), np.float32(0)) if len(self.counts) else np.zeros(len(rank), np.float32)
-        unseen[outside] = NEW * self.once
+        lists = word_lists(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        words = lists.flatten().view(pa.binary())
+        found = pc.index_in(words, value_set=self.known)
+        rare = words.filter(found.is_null())
+        rank = found.fill_null(-1).to_numpy()
+        inputs, classes = self.inputs[rank], self.class_of[rank]
+        outside, kind = np.flatnonzero(rank < 0), endings(rare)
+        inputs[outside] = EXPLICIT + kind
+        classes[outside] = self.classes + kind
         first = np.zeros(len(rank), bool)
-        first[np.cumsum([0, *sizes[:-1]])] = True
-        explicit = ~outside & (rank < self.explicit)
-        unseen[explicit] = 0
-        tokens = Tokens(
-            np.where(explicit, rank, EXPLICIT + kind),
-            np.where(explicit, rank // MEMBERS, self.classes + kind),
-            np.where(explicit, rank % MEMBERS, np.int32(-1)),
-            unseen,
-            first,
-        )
-        return tokens, rank, rare
+        first[lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()] = True
+        return Tokens(inputs, classes, self.member[rank], self.unseen[rank], first), rank, rare
 
 
 def binned(count: Column) -> Column:
@@ -227,19 +214,22 @@ def train(texts: DataFrame, words: Lexicon, rounds: int = ROUNDS) -> Params:
     for number in range(rounds):
         shared = spark.sparkContext.broadcast((words, gated.flat(params)))
 
-        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             one_thread()
             lexicon_, start = shared.value
             trainer = Trainer(gated.unflat(start, lexicon_.start()))
-            texts = (t for frame in frames for t in frame["text"])
             read = 0
-            for held in by_size(texts, lambda t: len(t or "") // 5 + 1, TRAIN_BLOCK):
-                read += trainer.learn(lexicon_.read(held)[0])
+            for blocks in by_size(text_blocks(batches, TRAIN_BLOCK), lambda b: b.column("text").nbytes // 5 + b.num_rows, BLOCK):
+                tokens = lexicon_.read(pa.concat_batches(blocks).column("text"))[0]
+                docs = np.append(np.flatnonzero(tokens.first), len(tokens.first))
+                cuts = docs[np.cumsum([0, *(b.num_rows for b in blocks)])].tolist()
+                for start, end in zip(cuts, cuts[1:], strict=False):
+                    read += trainer.learn(tokens.part(start, end))
             if read:
-                yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "tokens": [float(read)], "params": [gated.flat(trainer.p).tobytes()]})
+                yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "tokens": [float(read)], "params": [gated.flat(trainer.p).tobytes()]})
 
         share = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == number).select("text")
-        copies = share.mapInPandas(run, "part long, tokens double, params binary")
+        copies = share.mapInArrow(run, "part long, tokens double, params binary")
         for _ in range(LEVELS):
             copies = _averaged(copies, FAN_IN)
         row = copies.first()
@@ -262,51 +252,52 @@ def _scored(rows: DataFrame, words: Lexicon, params: Params) -> DataFrame:
         one_thread()
         lexicon_, values = shared.value
         p = gated.unflat(values, lexicon_.start())
-        log_count = np.log10(lexicon_.counts + 0.5)
-        mass = lexicon_.class_mass[lexicon_.ending] if len(lexicon_.words) else np.empty(0)
+        # Of each rank, and at the end of a word outside the head, which counts for nothing here.
+        log_count = np.append(np.log10(lexicon_.counts + 0.5), 0.0)
+        mass = np.append(lexicon_.class_mass[lexicon_.ending], 1.0)
         inner = np.where(np.arange(len(log_count)) < lexicon_.explicit, 0.0, log_count - np.log10(np.maximum(mass, 0.5)))
-        docs = (x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("row", "doc_id", "held_out", "text")), strict=True))
-        for held in by_size(docs, lambda x: len(x[3] or "") // 5 + 1, BLOCK):
-            row, doc_id, held_out, texts = zip(*held, strict=True)
-            tokens, rank, rare = lexicon_.read(list(texts))
+        inner[-1] = 0
+        for block in text_blocks(batches, BLOCK):
+            tokens, rank, rare = lexicon_.read(block.column("text"))
             own, other = gated.log_probabilities(p, tokens)
             own /= LN10
-            other /= LN10
-            doc = np.cumsum(tokens.first) - 1
-            known = rank >= 0
-            outside = np.flatnonzero(~known)
-            own[known] += inner[rank[known]]
-            sums = lambda w: np.bincount(doc[known], w, len(held))
-            none = np.zeros(len(held))
+            starts = np.flatnonzero(tokens.first)
+            sizes = np.diff(np.append(starts, len(rank)))
+            outside = np.flatnonzero(rank < 0)
+            n, rows = len(outside), block.num_rows
+            rare_own, rare_other = own[outside], other[outside] / LN10
+            own += inner[rank]
+            own[outside] = 0
+            none = np.zeros(rows)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([b"\n%d" % r for r in row], pa.binary()),
-                    pa.array(row, pa.int64()),
-                    pa.array(doc_id, pa.int64()),
-                    pa.array(held_out, pa.bool_()),
-                    pa.array(np.bincount(doc, minlength=len(held))),
+                    pa.array([b"\n%d" % r for r in block.column("row").to_pylist()], pa.binary()),
+                    block.column("row"),
+                    block.column("doc_id").cast(pa.int64()),
+                    block.column("held_out"),
+                    pa.array(sizes),
                     pa.array(none.astype(np.int64)),
-                    pa.array(sums(None).astype(np.int64)),
-                    pa.array(sums(log_count[rank[known]]).astype(np.float64)),
-                    pa.array(sums(own[known]).astype(np.float64)),
+                    pa.array(np.add.reduceat((rank >= 0).astype(np.int64), starts)),
+                    pa.array(np.add.reduceat(log_count[rank], starts)),
+                    pa.array(np.add.reduceat(own, starts)),
                     pa.array(none),
                 ],
                 names,
             )
-            if n := len(outside):
+            if n:
                 zeros = pa.array(np.zeros(n, np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(rare, pa.binary()),
-                        pa.array(np.array(row, np.int64)[doc[outside]]),
+                        rare,
+                        pa.array(np.repeat(block.column("row").to_numpy(), sizes)[outside]),
                         pa.nulls(n, pa.int64()),
                         pa.nulls(n, pa.bool_()),
                         zeros,
                         pa.array(np.ones(n, np.int64)),
                         zeros,
                         pa.array(np.zeros(n)),
-                        pa.array(own[outside]),
-                        pa.array(other[outside]),
+                        pa.array(rare_own),
+                        pa.array(rare_other),
                     ],
                     names,
                 )

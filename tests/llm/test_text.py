@@ -7,12 +7,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
 from keyloom.llm import decontaminate, gated, lm_score, packing, quality, queries
-from keyloom.llm.text import ascii_words
+from keyloom.llm.text import ascii_words, by_size, text_blocks, word_lists
 
 
 def odd(spark):
@@ -186,6 +187,62 @@ def test_steps_by_rows_and_columns_agree():
     assert np.allclose(gated.advance(p["keep"].T, read.T, h.T, *parts), (n + z * (h - n)).T)
 
 
+ODD_TEXTS = [None, "", " ", "\n\t", "a", " a  b ", "a\x0b\x0c\r\n\tB", "x\x1c\x1d\x1e\x1f\x85\xa0\u2003y \x00 z", "ÀÉ İ ẞ Ω K", "𐐀 \ud7ff\x80", "".join(map(chr, range(256)))]
+
+
+def test_words_by_arrow_are_the_same():
+    wanted = [[*ascii_words(t), b""] for t in ODD_TEXTS]
+    for skip in (0, 3):
+        got = word_lists(pa.array(ODD_TEXTS).slice(skip))
+        assert got.cast(pa.list_(pa.binary())).to_pylist() == wanted[skip:]
+        words = got.flatten().view(pa.binary())
+        for part in (words, words[5:], words[:0]):
+            assert lm_score.endings(part).tolist() == [lm_score.ending(w) for w in part.to_pylist()]
+
+
+def test_reading_takes_no_call_a_word(monkeypatch):
+    """Words are looked up side by side: what Python does grows with the words outside the head no more."""
+    _, _, lexicon = small_lexicon()
+    lexicon.read(["warm up"])
+    calls = []
+    monkeypatch.setattr(lm_score, "ending", lambda w, f=lm_score.ending: calls.append(w) or f(w))
+    texts = [" ".join(f"new{i}" for i in range(5000)), None, "the cat"]
+    tokens, rank, rare = lexicon.read(texts)
+    assert len(calls) < 10
+    assert rare.to_pylist()[:5000] == [b"new%d" % i for i in range(5000)]
+    assert tokens.inputs[:5000].tolist() == [lm_score.EXPLICIT + zlib.crc32((b"new%d" % i)[-2:]) % lm_score.ENDINGS for i in range(5000)]
+    assert np.flatnonzero(tokens.first).tolist() == [0, 5001, 5002]
+    words = [w for t in texts for w in [*ascii_words(t), b""]]
+    assert [lexicon.words[r] if r >= 0 else None for r in rank.tolist()] == [w if w in lexicon.words else None for w in words]
+
+
+@pytest.mark.parametrize("most", [1, 7, 40, 10_000])
+def test_blocks_of_texts_lose_no_row(most):
+    r = random.Random(5)
+    texts = [None if r.random() < 0.1 else "é" * r.randrange(90) for _ in range(200)]
+    wanted = list(by_size(iter(texts), lambda t: len(t or "") // 5 + 1, most))
+    for size in (1, 13, 200):
+        batches = [pa.record_batch({"text": pa.array(texts[i : i + size], pa.string())}) for i in range(0, 200, size)]
+        assert [b.column("text").to_pylist() for b in text_blocks(iter([*batches, batches[0].slice(0, 0)]), most)] == wanted
+
+
+def test_gradients_do_not_depend_on_the_rows_at_once(monkeypatch):
+    texts, _, lexicon = small_lexicon()
+    p = {k: v.astype(np.float64) for k, v in lexicon.start().items()}
+    r = np.random.default_rng(4)
+    for k in ("out", "member"):
+        p[k] += r.normal(0, 0.3, p[k].shape)
+    tokens, _, _ = lexicon.read(texts * 3)
+    n = len(tokens.inputs) // 8 * 8
+    window = gated.Tokens(*(x[:n].reshape(8, -1).T for x in (tokens.inputs, tokens.classes, tokens.members, tokens.unseen, tokens.first)), (np.arange(n) < n - 5).astype(np.float32).reshape(8, -1).T)
+    h = np.zeros((8, gated.HIDDEN))
+    whole, state, loss = gated.gradients(p, window, h)
+    monkeypatch.setattr(gated, "CACHED", 7)
+    parts, again, other = gated.gradients(p, window, h)
+    assert loss == pytest.approx(other) and np.allclose(state, again)
+    assert set(whole) == set(p) and all(np.allclose(whole[k], parts[k]) and whole[k].shape == p[k].shape for k in p)
+
+
 def test_quality_on_held_out_labels(spark, sf_dir):
     big = sf_dir.replace("0.001", "0.01")
     got = {r.doc_id: r for r in queries.op5_quality(spark, big).collect()}
