@@ -117,16 +117,6 @@ def log_softmax(rows: np.ndarray) -> np.ndarray:
     return rows - np.log(np.exp(rows).sum(1, keepdims=True))
 
 
-def picked(rows: np.ndarray, *columns: np.ndarray, small: bool = False) -> list[np.ndarray]:
-    """Log-probabilities of a column of each row of scores, which are used up."""
-    at = np.arange(len(rows))
-    if not small and rows.max(initial=0) > 60:
-        rows -= rows.max(1, keepdims=True)
-    found = [rows[at, c].astype(np.float64) for c in columns]
-    total = np.log(exponentials(rows, True)[1].astype(np.float64))
-    return [x - total for x in found]
-
-
 def advance(keep: np.ndarray, read: np.ndarray, h: np.ndarray, gates: np.ndarray, cand: np.ndarray, hidden: np.ndarray) -> np.ndarray:
     """The next states, a column each; ``read``: projected inputs, ``keep``: transposed.
 
@@ -343,26 +333,40 @@ def log_probabilities(p: Params, tokens: Tokens) -> tuple[np.ndarray, np.ndarray
     ends = np.cumsum(np.bincount(turn)).tolist()
     inputs, first = tokens.inputs[order], tokens.first[order]
     opens = np.logical_or.reduceat(first, [0, *ends[:-1]]).tolist() if n else []
-    read = np.ascontiguousarray((p["embed"] @ p["read"] + p["bias"]).T)
+    table = p["embed"] @ p["read"] + p["bias"]
     keep = np.ascontiguousarray(p["keep"].T)
     last = p["out"].shape[1] - 1
     out = np.concatenate([p["out"], (p["out_bias"] - p["out_bias"].max())[None]])
     member = np.concatenate([p["member"], (p["member_bias"] - p["member_bias"].max(1, keepdims=True))[:, None]], 1)
     small, small_members = bounded(out), [bounded(m) for m in member]
     states = np.ones((HIDDEN + 1, ROWS + len(dealt)), np.float32)
+    place = np.arange(states.shape[1])
     h = np.zeros((HIDDEN, len(dealt)), np.float32)
 
     def flush(start: int, end: int) -> None:
         rows, at = np.ascontiguousarray(states[:, : end - start].T), order[start:end]
         classes, members = tokens.classes[at], tokens.members[at]
-        found, other = np.empty(len(rows)), np.empty(len(rows))
+        found, other, total = (np.empty(len(rows), np.float32) for _ in range(3))
         for low in range(0, len(rows), CACHED):
             part = slice(low, low + CACHED)
             scores = rows[part] @ out
-            found[part], other[part] = picked(scores, classes[part], np.full(len(scores), last), small=small)
-        for c, mine in by_class(classes, members):
-            found[mine] += picked(rows[mine] @ member[c], members[mine], small=small_members[c])[0]
-        own[at], unseen[at] = found, other
+            if not small:
+                scores -= scores.max(1, keepdims=True)
+            found[part], other[part] = scores[place[: len(scores)], classes[part]], scores[:, last]
+            total[part] = exponentials(scores, True)[1]
+        logs = np.log(total.astype(np.float64))
+        own[at], unseen[at] = found - logs, other - logs
+        if explicit := by_class(classes, members):
+            mine = np.concatenate([x for _, x in explicit])
+            taken, chosen, high = rows.take(mine, 0), members[mine], 0
+            for c, x in explicit:
+                low, high = high, high + len(x)
+                scores = taken[low:high] @ member[c]
+                if not small_members[c]:
+                    scores -= scores.max(1, keepdims=True)
+                found[low:high] = scores[place[: len(x)], chosen[low:high]]
+                total[low:high] = exponentials(scores, True)[1]
+            own[at[mine]] += found[:high] - np.log(total[:high].astype(np.float64))
 
     gates = cand = hidden = np.empty((0, 0), np.float32)
     flushed = start = 0
@@ -374,7 +378,7 @@ def log_probabilities(p: Params, tokens: Tokens) -> tuple[np.ndarray, np.ndarray
         live = end - start
         if gates.shape[1] != live:
             gates, cand, hidden = (np.empty((size, live), np.float32) for size in (2 * HIDDEN, HIDDEN, HIDDEN))
-        h = advance(keep, read.take(inputs[start:end], 1), h, gates, cand, hidden)
+        h = advance(keep, np.ascontiguousarray(table.take(inputs[start:end], 0).T), h, gates, cand, hidden)
         start = end
         if start - flushed >= ROWS:
             flush(flushed, start)
