@@ -6,6 +6,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from conftest import rows_of, sql_rows
@@ -555,3 +556,59 @@ def test_links_equal_brute_force(paired):
                     assert any({(x, h) for x in (one, two) if x != h} <= got for h in range(one + 1))
                 else:
                     assert (two, one) in got or n > paired
+
+
+def test_edited_copies_around_a_frequent_phrase(spark):
+    """Pairs that share a phrase of many texts and more words beyond an edit: no whole passage in a row."""
+    r = random.Random(24)
+    phrase = words(r, 40)
+    rows = [(i, " ".join(words(r, 40) + phrase + words(r, 30))) for i in range(100)]
+    for pair in range(50, 90):
+        before = words(r, 40)
+        rows += [(2 * pair + side, " ".join(words(r, 50) + before + words(r, 1) + phrase + words(r, 50))) for side in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {x.doc_id // 2 for x in repeated_passages(df, hashes=2).collect() if x.doc_id // 2 == x.other_doc_id // 2}
+    print(len(got) / 40)
+    assert len(got) >= 38
+
+
+@pytest.mark.parametrize("chunk", [7, 1000])
+def test_search_of_frequent_keys_equals_brute_force(chunk):
+    """Edited copies, some that repeat themselves: classes are those that all pairs give."""
+    r = random.Random(chunk)
+    base, again = words(r, 150), words(r, 6)
+    texts = []
+    for _ in range(30):
+        edits, cut = r.choice([0.005, 0.02, 0.05]), r.randrange(0, 60)
+        body = base[cut:] + (again * r.randrange(6, 12) if r.random() < 0.5 else [])
+        texts.append(" ".join(words(r, 30) + [w if r.random() > edits else words(r, 1)[0] for w in body] + words(r, 30)))
+    module, width = compact_windows_module, 46
+    made = pd.concat(module._windows(width, 5, 4)(iter([pd.DataFrame({"rid": range(30), "text": texts})])))
+    windows = made.loc[made["kind"] == module.WINDOW, module.LINK[:6]].to_numpy()
+    rest = module.unpaired(windows, 4, chunk)
+    assert len(rest)
+    tokens = [(shingle_hashes(t, 5) >> np.uint64(32)).astype(np.uint32) for t in texts]
+    reach = module.REACH * width
+    around = lambda rid, c: tokens[rid][max(0, c - reach) : c + reach + 1]
+    frame = pd.DataFrame({"key": rest[:, 0], "one": rest[:, 7], "two": rest[:, 9], "rid": rest[:, 1], "c": rest[:, 3], "class": rest[:, 5], "own": rest[:, 8], "l": rest[:, 2], "r": rest[:, 4]})
+    frame["tokens"] = [around(rid, c).tobytes() for rid, c in zip(frame["rid"], frame["c"], strict=True)]
+    frame = frame.sort_values(["key", "one", "two"])
+    found = pd.concat(module._searching(width, 0.8)(iter([frame[:11], frame[11:]])))
+    assert (found["rid"] > found["to"]).all()
+    got = {(x.rid, x.c, x.to, x.tc) for x in found.itertuples()}
+
+    joins = 0
+    for _, group in frame.drop_duplicates(["key", "rid", "c", "l"]).groupby("key"):
+        held = list(zip(group["rid"], group["c"], group["class"], strict=True))
+        for some in ({(a[0], a[1], b[0], b[1]) for a in held for b in held}, got):
+            label = {x: x[2] for x in held}
+            for a in held:
+                for b in held:
+                    if b[0] < a[0] and (*a[:2], *b[:2]) in some and (some is got or passages(around(*a[:2]), around(*b[:2]), [(min(a[1], reach), min(b[1], reach))], width, 0.8)):
+                        old, new = label[a], label[b]
+                        label = {x: new if v == old else v for x, v in label.items()}
+            parts = sorted(sorted(x for x in held if label[x] == v) for v in set(label.values()))
+            if some is not got:
+                wanted, joins = parts, joins + len(set(group["class"])) - len(parts)
+        assert parts == wanted
+    assert joins
