@@ -612,3 +612,39 @@ def test_search_of_frequent_keys_equals_brute_force(chunk):
                 wanted, joins = parts, joins + len(set(group["class"])) - len(parts)
         assert parts == wanted
     assert joins
+
+
+@pytest.mark.parametrize("block", [5, 256])
+def test_a_search_gives_a_forest(monkeypatch, block):
+    """Edited copies of two texts: a link joins two classes, and most pairs are settled without being tested."""
+    module, width, n = compact_windows_module, 46, 60
+    monkeypatch.setattr(module, "BLOCK", block)
+    r = np.random.default_rng(block)
+    texts = []
+    for i in range(n):
+        text = np.arange(185, dtype=np.uint32) + 1000 * np.uint32(i % 2)
+        edited = r.random(185) < 0.03
+        edited[92] = False
+        text[edited] = r.integers(10_000, 2**32, int(edited.sum()), dtype=np.uint32)
+        texts.append(text)
+    verified = []
+    plain = module.passages_of
+    monkeypatch.setattr(module, "passages_of", lambda pairs, *x: verified.extend(pairs) or plain(pairs, *x))
+    found = module.joined(np.arange(n), np.zeros(n, int), np.arange(n), texts, np.full(n, 92), width, 0.8)
+    label = list(range(n))
+    for i, j in found:
+        assert i > j and label[i] != label[j]
+        label = [label[j] if x == label[i] else x for x in label]
+    assert len(set(label)) == 2 and len(verified) < 3 * n
+
+
+def test_shingles_of_a_block_are_told_apart():
+    """Values are equal where the hashes of the joined words are, and a word is hashed once."""
+    r = random.Random(2)
+    few = words(r, 30)
+    texts = [None, "", " ", "a", "A", "a b", "b a", "\tA  b\n", "a b c d e", "x a b c d e\u00a0f"] + [" ".join(r.choices(few, k=r.randrange(0, 40))) for _ in range(60)]
+    for size in (1, 2, 5):
+        got, wanted = compact_windows_module.token_values(texts, size), [shingle_hashes(t, size) for t in texts]
+        assert [len(x) for x in got] == [len(x) for x in wanted]
+        got, wanted = np.concatenate(got), np.concatenate(wanted)
+        assert len(np.unique(got)) == len(np.unique(wanted)) == len(set(zip(got.tolist(), wanted.tolist(), strict=True)))
