@@ -25,6 +25,10 @@ CACHED = 512
 RATE = 0.015
 CLIP = 1.0
 NEVER = np.float32(-1e9)
+#: Parameters that are updated at once, so that their moments stay in a core's cache.
+UPDATED = 8192
+#: Powers of two take half the time of powers of e; scores are turned into their logs by scaled weights.
+LOG2E = np.float32(1 / np.log(2))
 
 
 @dataclass(frozen=True)
@@ -78,6 +82,15 @@ def fresh(shape: Shape, class_bias: np.ndarray, member_bias: np.ndarray) -> Para
     }
 
 
+def laid(p: Params) -> tuple[np.ndarray, Params]:
+    """A copy of the parameters in one array, and its parts by name."""
+    values, parts, at = flat(p), {}, 0
+    for k in sorted(p):
+        parts[k] = values[at : at + p[k].size].reshape(p[k].shape)
+        at += p[k].size
+    return values, parts
+
+
 def flat(p: Params) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in sorted(p)])
 
@@ -101,14 +114,14 @@ def ordered(values: np.ndarray) -> np.ndarray:
 
 
 def exponentials(rows: np.ndarray, small: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """exp of scores, which are used up, and the sums of its rows.
+    """Two to the power of scores, which are used up, and the sums of its rows.
 
     Scores are moved down by their row's greatest only where one is large; none
     is if they are known to be ``small``.
     """
     if not small and rows.max(initial=0) > 60:
         rows -= rows.max(1, keepdims=True)
-    np.exp(rows, out=rows)
+    np.exp2(rows, out=rows)
     return rows, rows @ np.ones(rows.shape[1], rows.dtype)
 
 
@@ -117,19 +130,29 @@ def log_softmax(rows: np.ndarray) -> np.ndarray:
     return rows - np.log(np.exp(rows).sum(1, keepdims=True))
 
 
-def advance(keep: np.ndarray, read: np.ndarray, h: np.ndarray, gates: np.ndarray, cand: np.ndarray, hidden: np.ndarray) -> np.ndarray:
+def halved(weights: np.ndarray) -> np.ndarray:
+    """A copy whose last axis has the gates' part halved, as ``advance`` takes it."""
+    out = weights.copy()
+    out[..., : 2 * HIDDEN] *= out.dtype.type(0.5)
+    return out
+
+
+def advance(keep: np.ndarray, read: np.ndarray, h: np.ndarray, gates: np.ndarray, cand: np.ndarray, hidden: np.ndarray | None, half: bool = False) -> np.ndarray:
     """The next states, a column each; ``read``: projected inputs, ``keep``: transposed.
 
-    The last three arguments receive what the backward pass needs.
+    The three arguments after ``h`` receive what the backward pass needs.  With ``half``
+    the gates' part of both weights is halved already.
     """
     kept = keep @ h
     np.add(read[: 2 * HIDDEN], kept[: 2 * HIDDEN], out=gates)
-    gates *= gates.dtype.type(0.5)
+    if not half:
+        gates *= gates.dtype.type(0.5)
     np.tanh(gates, out=gates)
     gates *= gates.dtype.type(0.5)
     gates += gates.dtype.type(0.5)
-    hidden[:] = kept[2 * HIDDEN :]
-    np.multiply(hidden, gates[HIDDEN:], out=cand)
+    if hidden is not None:
+        hidden[:] = kept[2 * HIDDEN :]
+    np.multiply(kept[2 * HIDDEN :], gates[HIDDEN:], out=cand)
     cand += read[2 * HIDDEN :]
     np.tanh(cand, out=cand)
     after = h - cand
@@ -167,16 +190,17 @@ def gradients(p: Params, window: Tokens, h: np.ndarray) -> tuple[Params, np.ndar
     # States and gates are columns, so that each gate's are side by side in memory.
     table = p["embed"] @ p["read"]
     table += p["bias"]
+    table[:, : 2 * HIDDEN] *= table.dtype.type(0.5)
     read = np.ascontiguousarray(table.take(used, 0).reshape(steps, streams, -1).transpose(0, 2, 1))
     opens = window.first.any(1)
     before, cand, hidden = (np.empty((steps, HIDDEN, streams), table.dtype) for _ in range(3))
     gates = np.empty((steps, 2 * HIDDEN, streams), table.dtype)
-    keep, h = np.ascontiguousarray(p["keep"].T), h.T
+    keep, h = np.ascontiguousarray(halved(p["keep"]).T), h.T
     for t in range(steps):
         if opens[t]:
             h = np.where(window.first[t], table.dtype.type(0), h)
         before[t] = h
-        h = advance(keep, read[t], h, gates[t], cand[t], hidden[t])
+        h = advance(keep, read[t], h, gates[t], cand[t], hidden[t], True)
     z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
     n = len(used)
     # A last column of ones brings the bias; errors are left unscaled, their rows' scales go to the narrow side.
@@ -189,26 +213,30 @@ def gradients(p: Params, window: Tokens, h: np.ndarray) -> tuple[Params, np.ndar
     weight = weight / np.float32(total)
     out = np.concatenate([p["out"], p["out_bias"][None]])
     small, across, g_out, loss = bounded(out), np.ascontiguousarray(p["out"].T), 0, 0.0
+    out *= out.dtype.type(LOG2E)
+    cells = at[:CACHED] * out.shape[1]
     back = np.empty((n, HIDDEN), table.dtype)
     for low in range(0, n, CACHED):
         part = slice(low, low + CACHED)
         mine, own, given, rest = wide[part], classes[part], weight[part], unseen[part]
         error, sums = exponentials(mine @ out, small)
-        place = at[: len(mine)]
-        hit = error[place, own]
+        cell, line = cells[: len(mine)] + own, error.ravel()
+        hit = line.take(cell)
         loss -= float(np.log(hit / sums + 1e-20) @ given)
-        error[place, own] = hit - (1 - rest) * sums
+        line[cell] = hit - (1 - rest) * sums
         error[:, -1] -= rest * sums
         scale = given / sums
         g_out = g_out + np.multiply(mine.T, scale, order="C") @ error
         np.multiply(error @ across, scale[:, None], out=back[part])
     g = {"out": g_out[:-1], "out_bias": g_out[-1]}
     member = np.concatenate([p["member"], p["member_bias"][:, None]], 1)
+    member *= member.dtype.type(LOG2E)
     g_member = np.zeros_like(member)
     tame = (np.abs(p["member"]).sum(1) + p["member_bias"]).max(1, initial=0) < 60
     if explicit := by_class(classes, members):
         rows = np.concatenate([own for _, own in explicit])
         taken, chosen = wide.take(rows, 0), members[rows]
+        cells = at * member.shape[2]
         extra = np.empty((len(rows), HIDDEN), table.dtype)
         thin = np.ascontiguousarray(p["member"].transpose(0, 2, 1))
         high = 0
@@ -216,7 +244,7 @@ def gradients(p: Params, window: Tokens, h: np.ndarray) -> tuple[Params, np.ndar
             low, high = high, high + len(own)
             mine = taken[low:high]
             e, sums = exponentials(mine @ member[c], tame[c])
-            e[at[: high - low], chosen[low:high]] -= sums
+            e.ravel()[cells[: high - low] + chosen[low:high]] -= sums
             scale = (np.float32(1 / total) / sums)[:, None]
             np.matmul((mine * scale).T, e, out=g_member[c])
             np.multiply(e @ thin[c], scale, out=extra[low:high])
@@ -257,9 +285,10 @@ class Trainer:
     """Adam over windows of streams; documents are joined and dealt to the streams."""
 
     def __init__(self, p: Params) -> None:
-        self.p = {k: v.copy() for k, v in p.items()}
-        self.mean = {k: np.zeros_like(v) for k, v in p.items()}
-        self.square = {k: np.zeros_like(v) for k, v in p.items()}
+        # Parameters and gradients lie one after the other; those by name are parts of them.
+        self.values, self.p = laid(p)
+        self.given, self.g = laid(p)
+        self.mean, self.square = np.zeros_like(self.values), np.zeros_like(self.values)
         self.updates = 0
         self.loss = 0.0
 
@@ -282,23 +311,25 @@ class Trainer:
 
     def _update(self, g: Params) -> None:
         self.updates += 1
-        norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
+        for k, v in g.items():
+            self.g[k][...] = v
+        norm = np.sqrt(float(self.given @ self.given))
         scale = np.float32(min(1.0, CLIP / (norm + 1e-12)))
         rate = np.float32(RATE * np.sqrt(1 - 0.999**self.updates) / (1 - 0.9**self.updates))
-        for k, v in g.items():
-            v = v * scale
-            m, s = self.mean[k], self.square[k]
+        for low in range(0, len(self.values), UPDATED):
+            v, m, s, values = (x[low : low + UPDATED] for x in (self.given, self.mean, self.square, self.values))
+            v *= scale
             m *= np.float32(0.9)
+            s *= np.float32(0.999)
             m += np.float32(0.1) * v
             v *= v
             v *= np.float32(0.001)
-            s *= np.float32(0.999)
             s += v
             np.sqrt(s, out=v)
             v += np.float32(1e-8)
             np.divide(m, v, out=v)
             v *= rate
-            self.p[k] -= v
+            values -= v
 
 
 def lanes(lengths: np.ndarray, count: int) -> list[list[int]]:
@@ -333,12 +364,14 @@ def log_probabilities(p: Params, tokens: Tokens) -> tuple[np.ndarray, np.ndarray
     ends = np.cumsum(np.bincount(turn)).tolist()
     inputs, first = tokens.inputs[order], tokens.first[order]
     opens = np.logical_or.reduceat(first, [0, *ends[:-1]]).tolist() if n else []
-    table = p["embed"] @ p["read"] + p["bias"]
-    keep = np.ascontiguousarray(p["keep"].T)
+    table = halved(p["embed"] @ p["read"] + p["bias"])
+    keep = np.ascontiguousarray(halved(p["keep"]).T)
     last = p["out"].shape[1] - 1
     out = np.concatenate([p["out"], (p["out_bias"] - p["out_bias"].max())[None]])
     member = np.concatenate([p["member"], (p["member_bias"] - p["member_bias"].max(1, keepdims=True))[:, None]], 1)
     small, small_members = bounded(out), [bounded(m) for m in member]
+    across, member = np.ascontiguousarray(out.T) * LOG2E, member * LOG2E
+    ones = np.ones(len(across), np.float32)
     states = np.ones((HIDDEN + 1, ROWS + len(dealt)), np.float32)
     place = np.arange(states.shape[1])
     h = np.zeros((HIDDEN, len(dealt)), np.float32)
@@ -349,13 +382,14 @@ def log_probabilities(p: Params, tokens: Tokens) -> tuple[np.ndarray, np.ndarray
         found, other, total = (np.empty(len(rows), np.float32) for _ in range(3))
         for low in range(0, len(rows), CACHED):
             part = slice(low, low + CACHED)
-            scores = rows[part] @ out
+            # Classes by states: columns are side by side already.
+            scores = across @ states[:, low : min(low + CACHED, end - start)]
             if not small:
-                scores -= scores.max(1, keepdims=True)
-            found[part], other[part] = scores[place[: len(scores)], classes[part]], scores[:, last]
-            total[part] = exponentials(scores, True)[1]
+                scores -= scores.max(0)
+            found[part], other[part] = scores[classes[part], place[: scores.shape[1]]], scores[last]
+            total[part] = ones @ np.exp2(scores, out=scores)
         logs = np.log(total.astype(np.float64))
-        own[at], unseen[at] = found - logs, other - logs
+        own[at], unseen[at] = found / LOG2E - logs, other / LOG2E - logs
         if explicit := by_class(classes, members):
             mine = np.concatenate([x for _, x in explicit])
             taken, chosen, high = rows.take(mine, 0), members[mine], 0
@@ -366,9 +400,9 @@ def log_probabilities(p: Params, tokens: Tokens) -> tuple[np.ndarray, np.ndarray
                     scores -= scores.max(1, keepdims=True)
                 found[low:high] = scores[place[: len(x)], chosen[low:high]]
                 total[low:high] = exponentials(scores, True)[1]
-            own[at[mine]] += found[:high] - np.log(total[:high].astype(np.float64))
+            own[at[mine]] += found[:high] / LOG2E - np.log(total[:high].astype(np.float64))
 
-    gates = cand = hidden = np.empty((0, 0), np.float32)
+    gates = cand = np.empty((0, 0), np.float32)
     flushed = start = 0
     for end, opened in zip(ends, opens, strict=True):
         h = h[:, : end - start]
@@ -377,8 +411,8 @@ def log_probabilities(p: Params, tokens: Tokens) -> tuple[np.ndarray, np.ndarray
         states[:HIDDEN, start - flushed : end - flushed] = h
         live = end - start
         if gates.shape[1] != live:
-            gates, cand, hidden = (np.empty((size, live), np.float32) for size in (2 * HIDDEN, HIDDEN, HIDDEN))
-        h = advance(keep, np.ascontiguousarray(table.take(inputs[start:end], 0).T), h, gates, cand, hidden)
+            gates, cand = (np.empty((size, live), np.float32) for size in (2 * HIDDEN, HIDDEN))
+        h = advance(keep, np.ascontiguousarray(table.take(inputs[start:end], 0).T), h, gates, cand, None, True)
         start = end
         if start - flushed >= ROWS:
             flush(flushed, start)

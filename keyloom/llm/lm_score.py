@@ -239,14 +239,15 @@ def train(texts: DataFrame, words: Lexicon, rounds: int = ROUNDS) -> Params:
     return params
 
 
-#: Scores of a document's head tokens, or of one of its words outside the head:
-#: then key is the word, own and other the logs if it is known and if not.
-SCORED = "key binary, row long, doc_id long, held_out boolean, n_tokens long, n long, n_known long, base double, own double, other double"
+#: Scores of a document's head tokens, or of one of its words outside the head: then
+#: key is the word, own and other the logs if it is known and if not, and head is null.
+SCORED = "key binary, row long, own double, other double, head struct<doc_id: long, held_out: boolean, n_tokens: long, n_known: long, base: double>"
+HEAD_OF = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64()}
 
 
 def _scored(rows: DataFrame, words: Lexicon, params: Params) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast((words, gated.flat(params)))
-    names = [c.split()[0] for c in SCORED.split(", ")]
+    names = ["key", "row", "own", "other", "head"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
@@ -268,39 +269,26 @@ def _scored(rows: DataFrame, words: Lexicon, params: Params) -> DataFrame:
             rare_own, rare_other = own[outside], other[outside] / LN10
             own += inner[rank]
             own[outside] = 0
-            none = np.zeros(rows)
+            head = [
+                block.column("doc_id").cast(pa.int64()),
+                block.column("held_out"),
+                pa.array(sizes),
+                pa.array(np.add.reduceat((rank >= 0).astype(np.int64), starts)),
+                pa.array(np.add.reduceat(log_count[rank], starts)),
+            ]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([b"\n%d" % r for r in block.column("row").to_pylist()], pa.binary()),
                     block.column("row"),
-                    block.column("doc_id").cast(pa.int64()),
-                    block.column("held_out"),
-                    pa.array(sizes),
-                    pa.array(none.astype(np.int64)),
-                    pa.array(np.add.reduceat((rank >= 0).astype(np.int64), starts)),
-                    pa.array(np.add.reduceat(log_count[rank], starts)),
                     pa.array(np.add.reduceat(own, starts)),
-                    pa.array(none),
+                    pa.array(np.zeros(rows)),
+                    pa.StructArray.from_arrays(head, list(HEAD_OF)),
                 ],
                 names,
             )
             if n:
-                zeros = pa.array(np.zeros(n, np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        rare,
-                        pa.array(np.repeat(block.column("row").to_numpy(), sizes)[outside]),
-                        pa.nulls(n, pa.int64()),
-                        pa.nulls(n, pa.bool_()),
-                        zeros,
-                        pa.array(np.ones(n, np.int64)),
-                        zeros,
-                        pa.array(np.zeros(n)),
-                        pa.array(rare_own),
-                        pa.array(rare_other),
-                    ],
-                    names,
-                )
+                row = pa.array(np.repeat(block.column("row").to_numpy(), sizes)[outside])
+                yield pa.RecordBatch.from_arrays([rare, row, pa.array(rare_own), pa.array(rare_other), pa.nulls(n, pa.struct(HEAD_OF))], names)
 
     return rows.mapInArrow(run, SCORED)
 
@@ -328,14 +316,15 @@ def lm_score(docs: DataFrame, head: int = HEAD, rounds: int = ROUNDS) -> DataFra
     masses = F.array(*[F.lit(float(max(m, 0.5))) for m in words.class_mass])
     rare = counts.select(F.col("word").alias("key"), F.col("c"), F.log10(masses[kind]).alias("mass"))
     log_count = F.log10(F.coalesce("c", F.lit(0)) + 0.5)
-    own = F.when(F.col("n") == 0, F.col("own")).when(F.col("c").isNull(), F.col("other")).otherwise(F.col("own") + F.col("n") * (log_count - F.col("mass")))
+    known, outside = F.col("c").isNotNull(), F.col("head").isNull()
+    own = F.when(~outside, F.col("own")).when(known, F.col("own") + log_count - F.col("mass")).otherwise(F.col("other"))
     met = _scored(rows, words, params).join(rare, "key", "left")
     sums = met.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("held_out").alias("held_out"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.col("n") * log_count).alias("base"),
+        F.max("head.doc_id").alias("doc_id"),
+        F.max("head.held_out").alias("held_out"),
+        F.sum("head.n_tokens").alias("n_tokens"),
+        F.sum(F.when(outside, F.when(known, 1).otherwise(0)).otherwise(F.col("head.n_known"))).alias("n_known"),
+        F.sum(F.when(outside, log_count).otherwise(F.col("head.base"))).alias("base"),
         F.sum(own).alias("score"),
     )
     total = math.log10(words.tokens + 0.5 * (words.types + 1))

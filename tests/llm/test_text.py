@@ -243,6 +243,35 @@ def test_gradients_do_not_depend_on_the_rows_at_once(monkeypatch):
     assert set(whole) == set(p) and all(np.allclose(whole[k], parts[k]) and whole[k].shape == p[k].shape for k in p)
 
 
+def test_powers_are_of_two_and_scores_natural(monkeypatch):
+    """Training and scoring take no powers of e, which cost twice as much; probabilities are the same."""
+    texts, _, lexicon = small_lexicon()
+    p = lexicon.start()
+    tokens, _, _ = lexicon.read(texts)
+    r = np.random.default_rng(6)
+    for k in ("out", "member"):
+        p[k] += r.normal(0, 0.4, p[k].shape).astype(np.float32)
+    states, read = [], p["embed"] @ p["read"] + p["bias"]
+    for t, first in enumerate(tokens.first.tolist()):
+        h = np.zeros((1, gated.HIDDEN), np.float32) if first else h
+        states.append(h[0])
+        h = gated.step(p, read[tokens.inputs[t : t + 1]], h)[0]
+    logs = gated.log_softmax(np.array(states) @ p["out"] + p["out_bias"])
+    wanted = logs[np.arange(len(logs)), tokens.classes]
+    for t in np.flatnonzero(tokens.members >= 0).tolist():
+        c = tokens.classes[t]
+        wanted[t] += gated.log_softmax((states[t] @ p["member"][c] + p["member_bias"][c])[None])[0, tokens.members[t]]
+
+    class Counted:
+        def __getattr__(self, name):
+            assert name != "exp"
+            return getattr(np, name)
+
+    monkeypatch.setattr(gated, "np", Counted())
+    assert np.allclose(gated.log_probabilities(p, tokens)[0], wanted, atol=1e-4)
+    assert gated.Trainer(p).learn(tokens) == len(tokens.inputs)
+
+
 def test_quality_on_held_out_labels(spark, sf_dir):
     big = sf_dir.replace("0.001", "0.01")
     got = {r.doc_id: r for r in queries.op5_quality(spark, big).collect()}
