@@ -338,6 +338,53 @@ def test_compact_windows_cover_every_subsequence_once():
                     assert seen[i, j] == values[i : j + 1].min()
 
 
+def test_windows_of_many_texts_are_cut_side_by_side(monkeypatch):
+    """Texts without equal tokens, with some and that repeat themselves: the windows are those of each text on its own."""
+    module, r = compact_windows_module, random.Random(31)
+    texts = [None, "", " \n", "word " * 300, "a b " * 2500, " ".join(f"w{i % 4500}" for i in range(9000)), "Q" * 400 + " end"]
+    for _ in range(60):
+        body = words(r, r.randrange(1, 200))
+        texts.append(r.choice(["  ", "\t", " É \n"]).join(body + body[: r.randrange(0, 60)] + r.choice([[], ["same"] * 70])))
+    for width, size, hashes in ((46, 5, 4), (1, 5, 1), (7, 1, 2)):
+        wanted = []
+        for rid, text in enumerate(texts):
+            tokens = shingle_hashes(text, size)
+            for k in range(hashes if len(tokens) >= width else 0):
+                values = module.mixed(tokens, k)
+                for low, c, high in compact_windows(values, width, module.repetitive(tokens)).tolist():
+                    key = np.array([int(values[c]) & 2**64 - 16 | k], np.uint64).view(np.int64)[0]
+                    wanted.append((key, rid, low, c, high, surroundings(tokens, np.array([c]), width)[0]))
+        rounds = []
+        mixed = module.mixed
+        with monkeypatch.context() as patch:
+            patch.setattr(module, "mixed", lambda *x: rounds.append(x) or mixed(*x))  # noqa: B023
+            got = module.windows_of(np.arange(len(texts)), texts, width, size, hashes)
+        assert sorted(map(tuple, got.tolist())) == sorted(tuple(map(int, x)) for x in wanted)
+        assert len(rounds) == hashes + 2
+
+
+@pytest.mark.parametrize("table", [40, 1 << 17])
+def test_links_of_many_pairs_are_joined_in_tables(monkeypatch, table):
+    """Each link against each of its pair: those that enough hash functions bear out."""
+    module, r = compact_windows_module, np.random.default_rng(32)
+    monkeypatch.setattr(module, "TABLE", table)
+    pairs = []
+    for _ in range(40):
+        n = int(r.integers(1, 30))
+        c = r.integers(0, 400, n)
+        tc = c + r.choice([5, 60], n) + r.integers(-6, 7, n)
+        before, after = r.integers(0, 60, (2, n))
+        pairs.append(np.column_stack([r.integers(0, 4, n), c - before, c, c + after, tc - before, tc, tc + after]))
+    wanted = []
+    for mine in pairs:
+        for _, low, c, high, to_low, tc, to_high in mine.tolist():
+            near = [x[0] for x in mine.tolist() if low <= x[3] and high >= x[1] and to_low <= x[6] and to_high >= x[4] and abs((c - x[2]) - (tc - x[5])) <= 8 + abs(c - x[2]) // 4]
+            wanted.append(len(set(near)) >= 2)
+    size = np.array([len(x) for x in pairs])
+    assert module.borne_out(np.concatenate(pairs), np.cumsum(size) - size, size, 2).tolist() == wanted
+    assert 0 < sum(wanted) < len(wanted)
+
+
 def test_passages(spark):
     r = random.Random(11)
     shared, license_, again = words(r, 70), words(r, 20), words(r, 120)
